@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, packing, token_counts, topk
+from lectern.llm import chat, lsh_forest, packing, quality, sentence_spans, token_counts, topk, toxicity
 from lectern.llm.common import table
 
 
@@ -20,10 +20,26 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.digest(sentence_spans.span_dedup(table(spark, sf_dir, "documents")))
+
+
+def op5_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     own = F.lit("</s>[INST] ok [/INST]")
@@ -66,7 +82,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_exact_top_k": op3_exact_top_k,
+        "op4_sentence_spans": op4_sentence_spans,
+        "op5_minhash_lsh_forest": op5_minhash_lsh_forest,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_quality_rules": op8_quality_rules,
+        "op9_toxicity": op9_toxicity,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
