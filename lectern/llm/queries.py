@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, lsh_forest, packing, quality, sentence_spans, token_counts, topk, toxicity
+from lectern.llm import chat, lsh_forest, packing, quality, sentence_spans, suffix_dedup, token_counts, topk, toxicity
 from lectern.llm.common import table
 
 
@@ -28,6 +28,11 @@ def op5_minhash_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), size=3, num=85, den=100)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -84,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_top_k": op3_exact_top_k,
         "op4_sentence_spans": op4_sentence_spans,
         "op5_minhash_lsh_forest": op5_minhash_lsh_forest,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,

@@ -15,6 +15,7 @@ the base rate; repeated rows are scored one by one; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -30,7 +31,7 @@ QUOTES = "\"'«»“”„‘’‹›"
 REPORTING = frozenset("said says quoted quote called wrote word words sagte dit dijo term".split())
 ADDRESS = frozenset("you your youre du dich tu toi te vous usted".split())
 WINDOW = 5
-STEMS = range(5, 9)  # lengths of word beginnings that may be terms
+STEMS = range(4, 9)  # lengths of word beginnings that may be terms
 
 
 class TermAutomaton:
@@ -155,42 +156,38 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     usable = usable.where(~is_held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     chosen = [usable.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(per_class) for c in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
+    sample = texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
+    return sample.withColumn("opening", F.substring("text", 1, 60))  # tells copies; no feature
 
 
-def learn_lexicon(sample: DataFrame, min_docs: int = 8, min_ratio: float = 20.0, max_terms: int = 2000) -> dict[str, tuple[float, bool]]:
-    """Terms and stems of toxic documents with their log odds."""
-    words = sample.select(
-        "doc_id", "toxic",
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("w"),
-    )
-    stems = [F.when(F.length("w") >= n, F.substring("w", 1, n)) for n in STEMS]
-    units = words.select("doc_id", "toxic", F.explode(F.array(F.struct("w", F.lit(False).alias("stem")), *(F.struct(s.alias("w"), F.lit(True).alias("stem")) for s in stems))).alias("u"))
+def learn_lexicon(sample: DataFrame, min_share: float = 0.02, min_docs: int = 4, min_ratio: float = 20.0, max_terms: int = 2000) -> dict[str, tuple[float, bool]]:
+    """Terms and stems of toxic documents with their log odds. A term is held by min_share of the toxic documents,
+    min_docs at least; of documents that begin alike (copies), one counts."""
+    sample = sample.dropDuplicates(["toxic", "opening"])
+    words = sample.select("doc_id", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("w"))
+    stems = [F.when(F.length("w") > n, F.struct(F.substring("w", 1, n).alias("w"), F.lit(True).alias("stem"))) for n in STEMS]
+    units = words.select("doc_id", "toxic", F.explode(F.array(F.struct("w", F.lit(False).alias("stem")), *stems)).alias("u"))
     counts = (
-        units.where("u.w is not null").select("doc_id", "toxic", "u.w", "u.stem").distinct()
+        units.where("u is not null").select("doc_id", "toxic", "u.w", "u.stem").distinct()
         .groupBy("w", "stem").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
     )
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return {}
     odds = (F.col("t") + 0.1) / sizes[1] / ((F.col("c") + 0.1) / sizes[0])
-    best = counts.where((F.col("t") >= min_docs) & (odds >= min_ratio)).withColumn("w8", F.log(odds)).orderBy(F.desc("t"), "w", "stem").limit(max_terms).collect()
-    stems = {r["w"] for r in best if r["stem"]}
-    shorter = lambda w: any(w[:n] in stems for n in range(min(STEMS), len(w)))
-    out: dict[str, tuple[float, bool]] = {}
-    for r in sorted(best, key=lambda r: r["stem"]):
-        # the longest words only repeat what their stem says; a stem that is only one word is that word
-        if r["stem"] and not shorter(r["w"]) and r["w"] not in out:
-            out[r["w"]] = (float(r["w8"]), True)
-        elif not r["stem"]:
-            out[r["w"]] = (float(r["w8"]), False)
-    return {w: x for w, x in out.items() if not (x[1] and any(v != w and v.startswith(w) and not out[v][1] and _same(best, v, w) for v in out))}
-
-
-def _same(best: list, word: str, stem: str) -> bool:
-    """Whether a stem stands for this word alone: hardly more documents hold it."""
-    t = {(r["w"], r["stem"]): r["t"] for r in best}
-    return t.get((stem, True), 0) <= 1.05 * t.get((word, False), 0)
+    least = max(min_docs, int(min_share * sizes[1]))
+    found = counts.where((F.col("t") >= least) & (odds >= min_ratio)).withColumn("odds", odds).orderBy(F.desc("t"), "w", "stem").limit(max_terms).collect()
+    whole = {r["w"]: r for r in found if not r["stem"]}
+    kept: dict[str, tuple[float, bool]] = {}
+    held: dict[str, int] = {}
+    for r in sorted((r for r in found if r["stem"]), key=lambda r: (-r["odds"], len(r["w"]), r["w"])):
+        w = r["w"]
+        inside = any(w.startswith(k) for k in kept)
+        wider = any(k.startswith(w) and r["t"] <= 1.1 * held[k] for k in kept)
+        alone = any(v.startswith(w) and r["t"] <= 1.1 * x["t"] for v, x in whole.items())  # one word's beginning
+        if not (inside or wider or alone):
+            kept[w], held[w] = (math.log(r["odds"]), True), r["t"]
+    return kept | {w: (math.log(r["odds"]), False) for w, r in whole.items() if not any(w.startswith(k) for k in kept)}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 1e-2) -> np.ndarray:
