@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, lsh_forest, packing, quality, sentence_spans, suffix_dedup, token_counts, topk, toxicity
+from lectern.llm import chat, lsh_forest, packing, quality, sentence_spans, sp_codec, suffix_dedup, token_counts, topk, toxicity
 from lectern.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return sp_codec.codec_digest(sp_codec.decode_documents(sp_codec.encode_documents(docs)))
+
+
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(vectors, F.col("vec_id") % 100 == 0)
@@ -86,6 +91,7 @@ select conv_id, n_turns, sha256(said) turns_sha256, length(lost) loss_chars, sha
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_sentencepiece_codec": op2_sentencepiece_codec,
         "op3_exact_top_k": op3_exact_top_k,
         "op4_sentence_spans": op4_sentence_spans,
         "op5_minhash_lsh_forest": op5_minhash_lsh_forest,

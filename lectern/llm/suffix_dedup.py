@@ -258,6 +258,16 @@ def judged(pieces: list[bytes], tags: np.ndarray, docs: np.ndarray, length: int)
     return np.where(docs > least[at], ALL, own[at])
 
 
+def kept_texts(kept: DataFrame) -> DataFrame:
+    """(doc_id, text, n_removed): kept bytes as text, without the rests of characters that were cut."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [x.decode("utf-8", "ignore") for x in pdf["kept"]], "n_removed": pdf["n_removed"]})
+
+    return kept.select("doc_id", "kept", "n_removed").mapInPandas(run, "doc_id long, text string, n_removed long")
+
+
 def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every document."""
     batches = packed(texts(docs))

@@ -120,7 +120,7 @@ class _Matches(dict):
         return got
 
 
-FEATURES = ("any", "strength", "count", "near", "quoted", "density")
+FEATURES = ("exact", "edited", "strength", "near", "quoted", "density")
 
 
 def features(text: str, matches: _Matches) -> list[float]:
@@ -143,7 +143,8 @@ def features(text: str, matches: _Matches) -> list[float]:
             near += 1
             part *= 1.2
         strength += weight * part
-    return [1.0, min(strength, 12.0) / 4, min(len(hits), 8) / 4, min(near, 4.0), min(quoted, 4.0) / len(hits), min(1.0, 20 * len(hits) / len(words))]
+    edited = sum(found[k][1] < 0 for k in hits)
+    return [float(edited < len(hits)), min(edited, 3) / 3, min(strength, 40.0) / 20, min(near, 4.0) / 2, quoted / len(hits), min(1.0, 20 * len(hits) / len(words))]
 
 
 def is_held_out(doc_id: Column) -> Column:
