@@ -1,5 +1,70 @@
-"""Placeholder until all stages exist."""
-STAGES = []
+"""The corpus pipeline: quality rules, toxicity, near-dedup, suffix-array dedup and packing, one after another.
+
+STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all that its predecessor kept,
+and returns a DataFrame with the columns of documents (the last: one row for each packed piece). run() writes each
+stage's result to the shared folder and reads it again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern import ship
+from lectern.llm import lsh_forest, packing, quality, suffix_dedup, toxicity
+from lectern.llm.common import stage_table, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The documents of verdicts (doc_id, kept) that are kept."""
+    return docs.join(verdicts.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return _kept(docs, quality.quality_rules(docs))
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return _kept(docs, toxicity.toxicity(docs, table(spark, sf_dir, "labels")).withColumn("kept", F.col("predicted") == 0))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return _kept(docs, lsh_forest.near_duplicates(docs, size=5, num=80, den=100))
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the bytes that earlier documents cover; what is left of a character that was cut goes, too. A
+    document of which nothing is left goes."""
+    ship(spark)
+    kept = suffix_dedup.kept_texts(suffix_dedup.suffix_dedup(docs))
+    rest = docs.select("doc_id", "lang", "source")
+    return kept.where("text <> '' or n_removed = 0").join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("minhash_near_dedup", near_dedup_stage),
+    ("suffix_array_dedup", suffix_dedup_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: Near-dedup components, suffix matching and packing have no practical SQL; the tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return docs
