@@ -36,9 +36,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: hand Python workers at most so many at once, so that their memory stays bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id long, text string) of a documents-like table; null texts become empty, other columns go.
     Rows without a doc_id have no identity and are left out."""
+    small_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     ).where(F.col("doc_id").isNotNull())

@@ -12,17 +12,19 @@ repeated rows are judged one by one; an empty table gives an empty result; furth
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import texts
+from lectern.llm.common import small_batches, texts
 
 BLANKS = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 GROUP_WORDS = 200_000
-RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long"
 
 
 def repeats(words: np.ndarray, doc: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,21 +107,32 @@ def measure(rows: list[str], window: int = 8) -> list[tuple[int, ...]]:
     return out
 
 
-def quality_rules(docs: DataFrame, window: int = 8, min_words: int = 20, base_share: int = 30, max_share: int = 20, max_repeat: int = 100) -> DataFrame:
-    """One row for each document: the measures, base_failed and kept. Shares are per cent of the words;
-    max_repeat is in words."""
+def measures(window: int = 8):
+    """A function from a text column to its measures, as a struct."""
 
-    def run(batches):
-        for pdf in batches:
-            ids, rows = pdf["doc_id"].to_numpy(), pdf["text"].tolist()
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            rows = series.fillna("").tolist()
             bound = np.cumsum([len(t) // 6 + 1 for t in rows]) // GROUP_WORDS
-            for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(bound)) + 1):
-                found = measure([rows[k] for k in part], window)
-                yield pd.DataFrame([(ids[k], *x) for k, x in zip(part, found, strict=True)], columns=[x.split()[0] for x in RESULT.split(", ")])
-
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > base_share * F.col("n_words"))
-    repeats_much = (100 * F.col("n_repeat_words") > max_share * F.col("n_words")) | (F.col("longest_repeat") > max_repeat)
-    return (
-        texts(docs).mapInPandas(run, RESULT)
-        .withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~repeats_much)
-    )
+            parts = np.split(np.arange(len(rows)), np.flatnonzero(np.diff(bound)) + 1)
+            found = [x for part in parts for x in measure([rows[k] for k in part], window)]
+            yield pd.DataFrame(found, columns=[x.split()[0] for x in MEASURES.split(", ")])
+
+    return F.pandas_udf(run, MEASURES).asNondeterministic()  # computed once, however often it is named
+
+
+def with_verdict(docs: DataFrame, window: int = 8, min_words: int = 20, base_share: int = 30, max_share: int = 20, max_repeat: int = 100) -> DataFrame:
+    """docs with `quality`: a struct of the measures, base_failed and kept. Shares are per cent of the words; max_repeat
+    is in words."""
+    small_batches(docs.sparkSession)
+    m = lambda name: F.col("_m")[name]
+    failed = (m("n_words") < min_words) | (100 * m("n_repeat_words") > base_share * m("n_words"))
+    repeats_much = (100 * m("n_repeat_words") > max_share * m("n_words")) | (m("longest_repeat") > max_repeat)
+    fields = [m(x.split()[0]).alias(x.split()[0]) for x in MEASURES.split(", ")]
+    verdict = F.struct(*fields, failed.alias("base_failed"), (~failed & ~repeats_much).alias("kept"))
+    return docs.withColumn("_m", measures(window)(F.col("text"))).withColumn("quality", verdict).drop("_m")
+
+
+def quality_rules(docs: DataFrame, **limits: int) -> DataFrame:
+    """One row for each document: doc_id, the measures, base_failed and kept."""
+    return with_verdict(texts(docs), **limits).select("doc_id", "quality.*")

@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import math
 import re
+from typing import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import texts
+from lectern.llm.common import stage_table, texts
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 QUOTES = "\"'«»“”„‘’‹›"
@@ -114,7 +115,7 @@ class _Matches(dict):
 
     def __missing__(self, raw: str):
         got = self.automaton.match(EDGE.sub("", raw.lower()))
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[raw] = got
         return got
@@ -203,9 +204,9 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float
     return w
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_edits: int = 1, sample_per_class: int = 4000, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every document."""
-    sample = training_sample(docs, labels, sample_per_class).cache()
+def scorer(docs: DataFrame, labels: DataFrame, max_edits: int = 1, sample_per_class: int = 4000):
+    """A function from a text column to scores, learned from the training rows of docs and labels."""
+    sample = stage_table(training_sample(docs, labels, sample_per_class), "sample")
     lexicon = learn_lexicon(sample)
 
     def feature_rows(batches):
@@ -214,16 +215,21 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_edits: int = 1, sample_per_
             yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, matches) for t in pdf["text"]]})
 
     train = sample.select("toxic", "text").mapInPandas(feature_rows, "toxic int, x array<double>").toPandas()  # at most 2 * sample_per_class rows
-    sample.unpersist()
     y = train["toxic"].to_numpy(float)
     x = np.stack(train["x"].to_numpy()) if len(train) else np.zeros((0, len(FEATURES)))
     model = fit_logistic(x, y) if len(y) else np.zeros(len(FEATURES) + 1)
 
-    def score(batches):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matches = _Matches(TermAutomaton(lexicon, max_edits))
-        for pdf in batches:
-            x = np.array([[*features(t, matches), 1.0] for t in pdf["text"]]).reshape(len(pdf), len(model))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(x @ model, -30, 30)))})
+        for series in batches:
+            x = np.array([[*features(t or "", matches), 1.0] for t in series]).reshape(len(series), len(model))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(x @ model, -30, 30))))
+
+    return F.pandas_udf(run, "double").asNondeterministic()  # computed once, however often it is named
 
-    scored = texts(docs).mapInPandas(score, "doc_id long, score double")
+
+def toxicity(docs: DataFrame, labels: DataFrame, max_edits: int = 1, sample_per_class: int = 4000, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every document."""
+    score = scorer(docs, labels, max_edits, sample_per_class)
+    scored = texts(docs).select("doc_id", score(F.col("text")).alias("score"))
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
