@@ -24,13 +24,13 @@ def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return quality.with_verdict(docs).where("quality.kept").select(*COLUMNS)
+    return quality.with_verdict(docs.select(*COLUMNS)).where("quality.kept").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     score = toxicity.scorer(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("score", score(F.col("text"))).where("score < 0.7").select(*COLUMNS)
+    return docs.select(*COLUMNS).withColumn("score", score(F.col("text"))).where("score < 0.7").select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
