@@ -2,8 +2,7 @@
 
 No piece spans the place before a word's blank mark, so a text is encoded word by word, and each distinct word of a
 batch once. Words of equal length form a matrix of code points and advance together: at each end place, hashes of the
-substrings that end there probe the sorted hashes of the pieces, and maxima over the piece lengths store
-backpointers. A unigram model maximises the sum of scores. A BPE model (such as the public one used here) is no sum of
+substrings that end there probe the sorted keys of the pieces, and maxima over the piece lengths store backpointers. A unigram model maximises the sum of scores. A BPE model (such as the public one used here) is no sum of
 scores: a segmentation is the one that merging gives exactly if each two neighbours stay apart when merged by
 themselves, so a step is allowed only from a prefix whose last piece is compatible, and one path remains.
 Characters without a piece become byte pieces.
@@ -25,9 +24,13 @@ from lectern.llm.common import texts
 
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+LETTER, STOPS = r"[^\W\d_²]", ".,!?|"
+#: words that also end before a stop, where no piece of the model goes from a letter to a stop
+SHORT_WORDS = re.compile(f"{MARK}*(?:[^{MARK}\n{STOPS}]*{LETTER}(?=[{STOPS}])|[^{MARK}\n]+)|{MARK}+|\n")
 CACHE_WORDS = 300_000
 CHUNK_CHARS = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+TABLE_BITS = 18
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _merge(word: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
@@ -81,15 +84,32 @@ class PieceModel:
         joins = np.array(sorted(joins), np.int64).reshape(-1, 2)
         self.join_key, self.join_rank = joins[:, 0], joins[:, 1]
         self.n, self.longest = n, max(map(len, usable))
-        self.keys: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
-        for size in range(1, self.longest + 1):
+        self.words = WORDS if any(re.search(f"{LETTER}[{STOPS}]", p) for p in pieces) else SHORT_WORDS
+        # sorted piece keys of each size, and a table of bits that turns most substrings away before the search
+        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.uint64]] = {}
+        self.maybe = np.zeros(1 << TABLE_BITS, bool)
+        for size in sorted({len(p) for p in usable}):
             found = [(p, k) for p, k in usable.items() if len(p) == size]
             codes = np.array([[ord(c) for c in p] for p, _ in found], np.uint64).reshape(-1, size)
             h = np.zeros(len(found), np.uint64)
             for c in range(size):
                 h = h * _BASE + codes[:, c] + np.uint64(1)
+            salt = np.uint64(size * int(_BASE) & ((1 << 64) - 1))
             by = np.argsort(h)
-            self.keys.append((h[by], np.array([k for _, k in found], np.int64)[by]))
+            self.keys[size] = h[by], np.array([k for _, k in found], np.int64)[by], salt
+            self.maybe[self.place(h, salt)] = True
+
+    @staticmethod
+    def place(h: np.ndarray, salt: np.uint64) -> np.ndarray:
+        return ((h + salt) * _MIX) >> np.uint64(64 - TABLE_BITS)
+
+    def find(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which substring hashes are those of pieces of this size, and the pieces."""
+        keys, ids, salt = self.keys[size]
+        rows = np.flatnonzero(self.maybe[self.place(h, salt)])
+        p = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
+        same = keys[p] == h[rows]
+        return rows[same], ids[p[same]]
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging the letters of pieces a and b gives just a and b: both are taken apart, the newest merge
@@ -109,8 +129,8 @@ class PieceModel:
             at = at[go]
         return ok
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words of one length, by Viterbi."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of words of one length, by Viterbi."""
         size, m = len(words[0]), len(words)
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size).astype(np.uint64)
         prefix = np.zeros((size + 1, m), np.uint64)
@@ -123,20 +143,20 @@ class PieceModel:
         step = np.zeros((size + 1, m), np.int64)
         for end in range(1, size + 1):
             rows, ids, sizes = [], [], []
-            for k in range(1, min(end, self.longest) + 1):
-                keys, known = self.keys[k]
-                if not len(keys):
-                    continue
-                h = prefix[end] - prefix[end - k] * power[k]
-                p = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = np.flatnonzero((keys[p] == h) & (best[end - k] > -np.inf))
-                rows.append(hit)
-                ids.append(known[p[hit]])
-                sizes.append(np.full(len(hit), k))
+            for k in self.keys:
+                if k > end:
+                    break
+                hit, found = self.find(prefix[end] - prefix[end - k] * power[k], k)
                 if k == 1:
-                    lone = np.flatnonzero(keys[p] != h)
+                    lone = np.ones(m, bool)
+                    lone[hit] = False
+                    lone = np.flatnonzero(lone)
                     piece[end, lone], step[end, lone] = -1, 1
                     best[end, lone] = best[end - 1, lone] - (1e4 if self.unigram else 0)
+                ok = best[end - k, hit] > -np.inf
+                rows.append(hit[ok])
+                ids.append(found[ok])
+                sizes.append(np.full(len(rows[-1]), k))
             rows, ids, sizes = (np.concatenate(x) for x in (rows, ids, sizes))
             before = best[end - sizes, rows]
             if self.unigram:
@@ -152,19 +172,23 @@ class PieceModel:
             np.maximum.at(top, rows, value)
             won = np.flatnonzero((value == top[rows]) & (value > -np.inf))
             best[end], piece[end, rows[won]], step[end, rows[won]] = top, ids[won], sizes[won]
-        out: list[list[np.ndarray]] = [[] for _ in range(m)]
-        at = np.full(m, size)
-        trail = []
+        at, trail = np.full(m, size), []
         while (live := np.flatnonzero(at > 0)).size:
             trail.append((live, piece[at[live], live], at[live]))
             at[live] -= step[at[live], live]
-        for live, ids, ends in reversed(trail):
-            for w, k, e in zip(live.tolist(), ids.tolist(), ends.tolist(), strict=True):
-                if k >= 0:
-                    out[w].append(k)
-                else:
-                    out[w].extend(self.bytes[list(words[w][e - 1].encode("utf-8", "surrogatepass"))].tolist())
-        return [np.array(x, "<u4") for x in out]
+        word, ids, ends = (np.concatenate(x) for x in zip(*reversed(trail), strict=True))
+        order = np.argsort(word, kind="stable")  # the trail was walked from the end
+        word, ids, ends = word[order], ids[order], ends[order]
+        cuts = np.cumsum(np.bincount(word, minlength=m))[:-1]
+        lone = set(word[ids < 0].tolist())
+        raw, stops = ids.astype("<u4").tobytes(), [0, *cuts.tolist(), len(ids)]
+        out = [raw[4 * a : 4 * b] for a, b in zip(stops, stops[1:])]
+        for w in lone:
+            part = []
+            for k, e in zip(ids[stops[w] : stops[w + 1]].tolist(), ends[stops[w] : stops[w + 1]].tolist(), strict=True):
+                part += [k] if k >= 0 else self.bytes[list(words[w][e - 1].encode("utf-8", "surrogatepass"))].tolist()
+            out[w] = np.array(part, "<u4").tobytes()
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -177,19 +201,24 @@ class Encoder:
     def __init__(self, name: str = "piece_bpe_32k.model", unigram: bool = False):
         self.model = PieceModel(name, unigram)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, rows: list[str]) -> list[bytes]:
-        split = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in rows]
+        find = self.model.words.findall
+        split = [find(MARK + t.replace(" ", MARK)) if t else [] for t in rows]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+            self.known, self.older = {}, self.known
+        new = set().union(*split) - self.known.keys()
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
         by_size: dict[int, list[str]] = {}
-        for w in set().union(*split) - self.known.keys():
+        for w in new - again:
             by_size.setdefault(len(w), []).append(w)
         for size, words in by_size.items():
             most = max(1, 400_000 // size)
             for s in range(0, len(words), most):
                 part = words[s : s + most]
-                self.known.update(zip(part, (x.tobytes() for x in self.model.encode_words(part)), strict=True))
+                self.known.update(zip(part, self.model.encode_words(part), strict=True))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
