@@ -36,11 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
     """Texts can be long: hand Python workers at most so many at once, so that their memory stays bounded."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def texts(docs: DataFrame) -> DataFrame:

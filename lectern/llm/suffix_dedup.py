@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import mix64, stage_table, texts
 
 ANCHOR = 24
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 MOST = 64  # strings in a piece: one mask
 BATCHES = "batch long, size long, ids binary, lens binary, data binary"
