@@ -89,9 +89,12 @@ select conv_id, n_turns, sha256(said) turns_sha256, length(lost) loss_chars, sha
 
 
 _NL, _DOCS = "chr(10)", "docs as (select doc_id, coalesce(text, '') t from documents where doc_id is not null)"
+_CUT = "t"
+for _mark in ".!?,;:":
+    _CUT = f"replace({_CUT}, '{_mark} ', concat('{_mark}', {_NL}))"
 OP4_SQL = f"""
 with {_DOCS},
-split as (select doc_id, t, string_split(replace(replace(replace(t, '. ', concat('.', {_NL})), '! ', concat('!', {_NL})), '? ', concat('?', {_NL})), {_NL}) ps from docs),
+split as (select doc_id, t, string_split({_CUT}, {_NL}) ps from docs),
 parts as (select doc_id, t, unnest(ps) part, generate_subscripts(ps, 1) k from split),
 placed as (select *, trim(part, concat(' ', chr(9), chr(13))) sent, coalesce(sum(length(part) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) start from parts),
 sents as (select doc_id, k, sent, row_number() over (partition by doc_id order by k) pos, length(sent) - length(replace(sent, ' ', '')) + 1 n from placed where sent <> ''),

@@ -1,7 +1,7 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (at a line feed, or at the blank after `.`, `!` or `?`). Every run of `span`
-consecutive sentences with at least `min_words` words is hashed to 96 bits; runs are grouped over all documents with
+A text is cut into sentences, and these into clauses (at a line feed, or at the blank after one of `.!?,;:`), so that a
+passage copied into the middle of a long sentence still holds whole units. Every run of `span` consecutive sentences with at least `min_words` words is hashed to 96 bits; runs are grouped over all documents with
 map-side sums, and every sentence that a run covers goes unless that run is its first occurrence, by (doc_id,
 position). A run that a third of all documents hold is one row for each map task in the grouping, and the join that
 brings verdicts back is of two plain exchanges, which Spark splits where they are skewed.
@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import mix64, stage_table, texts
 
+MARKS = ".!?,;:"
 RUNS = "h long, g int, doc_id long, pos int"
 RESULT = "doc_id long, kept string, n_sentences long, n_removed long"
 
 
 def pieces(text: str) -> list[str]:
-    """The text at its sentence ends; joined by the one character that each end takes, it is the text again."""
-    for mark in ".!?":
+    """The text at its sentence and clause ends; joined by the one character that each end takes, it is the text again."""
+    for mark in MARKS:
         text = text.replace(mark + " ", mark + "\n")
     return text.split("\n")
 
