@@ -1,36 +1,14 @@
-"""Helpers shared by the training-data operators: tables in the shared folder, hashes, readers."""
+"""Helpers shared by the training-data operators: readers, batch sizes, hashes; and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset (tests on one
-    machine), one temporary folder of this process."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own:
-        _own.append("file://" + tempfile.mkdtemp(prefix="lectern-"))
-    return _own[0]
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts the lineage, and every executor
-    (also one that replaces a lost one) can read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from lectern.sources.staging import shared_dir, stage_table
 
+__all__ = ["mix64", "shared_dir", "small_batches", "stage_table", "table", "texts"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

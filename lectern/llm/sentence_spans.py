@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences, and these into clauses (at a line feed, or at the blank after one of `.!?,;:`), so that a
-passage copied into the middle of a long sentence still holds whole units. Every run of `span` consecutive sentences with at least `min_words` words is hashed to 96 bits; runs are grouped over all documents with
-map-side sums, and every sentence that a run covers goes unless that run is its first occurrence, by (doc_id,
+passage copied into the middle of a long sentence still holds whole units. Every run of `span` consecutive units with
+at least `min_words` words is hashed to 96 bits; runs are grouped over all documents with map-side sums, and every
+unit that a run covers goes unless that run is its first occurrence, by (doc_id,
 position). A run that a third of all documents hold is one row for each map task in the grouping, and the join that
 brings verdicts back is of two plain exchanges, which Spark splits where they are skewed.
 

@@ -258,18 +258,9 @@ def judged(pieces: list[bytes], tags: np.ndarray, docs: np.ndarray, length: int)
     return np.where(docs > least[at], ALL, own[at])
 
 
-def kept_texts(kept: DataFrame) -> DataFrame:
-    """(doc_id, text, n_removed): kept bytes as text, without the rests of characters that were cut."""
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [x.decode("utf-8", "ignore") for x in pdf["kept"]], "n_removed": pdf["n_removed"]})
-
-    return kept.select("doc_id", "kept", "n_removed").mapInPandas(run, "doc_id long, text string, n_removed long")
-
-
-def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) of every document."""
+def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept) of every document. as_text: kept is a string, without the rests of
+    characters that were cut."""
     batches = packed(texts(docs))
     total = batches.agg(F.sum("size")).first()[0] or 0
     buckets = max(24, -(-total // BUCKET_BYTES))
@@ -381,8 +372,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
                     removed = int(np.count_nonzero(g))
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if removed else 0
                     kept = batch.data[at_byte : at_byte + size] if not removed else data[at_byte : at_byte + size][~g].tobytes()
-                    rows.append((doc_id, size, removed, spans, kept))
+                    rows.append((doc_id, size, removed, spans, kept.decode("utf-8", "ignore") if as_text else kept))
                     at_byte += size
                 yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return known.join(answers, "batch", "left").select("batch", "ids", "lens", "data", "bits", "masks").mapInPandas(cut, RESULT)
+    return known.join(answers, "batch", "left").select("batch", "ids", "lens", "data", "bits", "masks").mapInPandas(cut, RESULT.replace("kept binary", "kept string") if as_text else RESULT)
