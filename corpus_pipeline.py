@@ -42,7 +42,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Texts lose the bytes that earlier documents cover; what is left of a character that was cut goes, too. A
     document of which nothing is left goes."""
     ship(spark)
-    kept = suffix_dedup.kept_texts(suffix_dedup.suffix_dedup(docs))
+    kept = suffix_dedup.suffix_dedup(docs, as_text=True).withColumnRenamed("kept", "text")
     rest = docs.select("doc_id", "lang", "source")
     return kept.where("text <> '' or n_removed = 0").join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
