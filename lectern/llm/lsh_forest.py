@@ -6,13 +6,15 @@ prefix: at least PREFIX values, and more where sets are dense, so that depth fol
 NEAR sets before it in each order, so candidates grow with the sets, never with the square of a crowd. Orders are
 range-sorted over (prefix, further values, id), which also splits a crowd that holds a third of all rows. In
 crowded regions (more than NEAR sets with one prefix) the smallest id, mostly the original, is offered to all others.
+What these offers leave apart in crowds is then compared without a cap: a prefix filter over all members of crowded
+regions (rare_prefixes, crowd_pairs) names every pair of different components that can reach the threshold.
 
 Candidates are sifted by their signatures and confirmed on full shingle sets: first the best partner of each
 document, then every candidate pair whose ends those links have not joined. Links give connected components.
 
-In sparse regions a pair at similarity 0.85 is missed with a chance of (1 - 0.85^3)^16 < 1e-6; in a crowd a set has
-many partners, of which one is enough. Neighbours across the border of two sort partitions are not offered in that
-tree. Recall against brute force is measured in the tests.
+In sparse regions a pair at similarity 0.85 is missed with a chance of (1 - 0.85^3)^16 < 1e-6; between members of crowds
+none is. Neighbours across the border of two sort partitions are not offered in that tree. Recall against brute force
+is measured in the tests.
 
 Equal sets are one class from the start, so that copies cost one row each. Joins that can meet a hot key are of two
 plain exchanges, which Spark splits where they are skewed; joins with texts are never broadcast, as nothing
@@ -37,7 +39,8 @@ from lectern.llm.components import connected_components
 VALUES, TREES = 96, 16
 PREFIX = 3
 ORDER_BYTES = 24  # of the values after the prefix that the order reads
-NEAR, WIDE = 8, 256  # sets offered before it in each order: to all, and in crowds to those that are still alone
+NEAR = 8  # sets offered before it in each order
+SLOTS = 1 << 18  # counters that tell rare shingles from common ones
 SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, low binary, keys array<long>"
 
 _odd = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -191,8 +194,64 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The one exchange of all texts: what it keeps is staged for all rounds."""
-    return stage_table(docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    """The one exchange of all texts: what it keeps is staged for all rounds. ids: (doc_id, crowd), each doc_id once."""
+    return stage_table(docs.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+
+
+def rare_prefixes(some: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(h, doc_id, n, at, leads): the rarest shingles of each set of crowds, rarest first. Two sets of a similarity of
+    num / den share one of them: of n shingles, the n - ceil(n * num / den) + 1 rarest, and in the set with fewer (or
+    the smaller id) even one of the n - ceil(n * 2 num / (num + den)) + 1 rarest, which lead. Counters need not tell
+    shingles apart, as any one order of all shingles will do."""
+    members = some.where("crowd")
+
+    def count(batches):
+        n = np.zeros(SLOTS, np.int64)
+        for pdf in batches:
+            x = [shingle_hashes(text, size) % np.uint64(SLOTS) for text in pdf["text"]]
+            if x:
+                n += np.bincount(np.concatenate(x).astype(np.int64), minlength=SLOTS)
+        _words.clear()
+        slot = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": slot, "n": n[slot]})
+
+    seen = members.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    often = np.zeros(SLOTS, np.int64)
+    often[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+
+    def run(batches):
+        for pdf in batches:
+            parts = []
+            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+                x = shingle_hashes(text, size)
+                n = len(x)
+                if not n:
+                    continue
+                at = np.arange(n - -(-n * num // den) + 1)
+                rare = x[np.lexsort((x, often[(x % np.uint64(SLOTS)).astype(np.int64)]))[: len(at)]]
+                parts.append((rare.view(np.int64), np.full(len(at), doc_id), np.full(len(at), n), at, at <= n - -(-2 * n * num // (num + den))))
+            if parts:
+                yield pd.DataFrame(dict(zip(("h", "doc_id", "n", "at", "leads"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
+        _words.clear()
+
+    return members.select("doc_id", "text").mapInPandas(run, "h long, doc_id long, n long, at long, leads boolean")
+
+
+def crowd_pairs(some: DataFrame, joined: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: all pairs of members of crowds in different components that can have a similarity of num / den.
+    The largest component of a shingle's holders is not compared with itself, so that near copies that are joined
+    already cost one row each for a shingle that all of them hold."""
+    of = joined.select(F.col("node").alias("doc_id"), "component")
+    rows = rare_prefixes(some, size, num, den).join(of.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = stage_table(rows, "prefixes")
+    parts = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
+    most = parts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rows = stage_table(rows.join(most.select("h", "main").hint("merge"), "h").withColumn("rest", F.col("component") != F.col("main")), "mixed")
+    few, many = (rows.select("h", *(F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "at", "leads", "component", "rest"))) for k in (1, 2))
+    both = few.where("rest1").join(many.hint("merge"), "h").where("component1 <> component2 and (not rest2 or doc_id1 < doc_id2)")
+    first = F.expr("n1 < n2 or n1 = n2 and doc_id1 < doc_id2")
+    able = F.when(first, F.col("leads1")).otherwise(F.col("leads2")) & (F.least(F.expr("n1 - at1"), F.expr("n2 - at2")) * (num + den) >= (F.col("n1") + F.col("n2")) * num)
+    return both.where(able).select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
 
 
 def _extend(links: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -223,18 +282,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     pairs = stage_table(found.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x"))  # most alike, then smallest
     best = stage_table(best.select((-F.col("x.m")).alias("a"), "b"), "best")
-    some = texts_of(docs, ends(pairs))
+    members = in_trees(sets).join(crowded.select("key"), "key").select("doc_id").distinct()
+    wanted = ends(pairs).withColumn("crowd", F.lit(False)).union(members.withColumn("crowd", F.lit(True)))
+    some = texts_of(docs, wanted.groupBy("doc_id").agg(F.max("crowd").alias("crowd")))
     links = confirmed(best, some, size, num, den)
     joined, more = _extend(links, pairs.join(best, ["a", "b"], "left_anti"), some, size, num, den)
-    # in crowds, sets that have candidates and no link are offered many more
-    alone = stage_table(ends(pairs).join(joined.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "alone")
-    if not alone.isEmpty() and not crowded.isEmpty():
-        rows = in_trees(sets).join(crowded.select("key"), "key").join(alone.withColumn("asked", F.lit(True)), "doc_id", "left").na.fill(False, ["asked"])
-        wide = stage_table(neighbours(rows, least, WIDE).join(pairs, ["a", "b"], "left_anti"), "wide")
-        others = ends(wide).join(some.select("doc_id"), "doc_id", "left_anti")
-        if not others.isEmpty():
-            some = some.union(texts_of(docs, others))
-        joined, more = _extend(more, wide, some, size, num, den)
+    if not crowded.isEmpty():  # in crowds, whatever the offers left apart
+        wide = stage_table(crowd_pairs(some, joined, size, num, den).join(pairs, ["a", "b"], "left_anti"), "wide")
+        if not wide.isEmpty():
+            joined = connected_components(more.union(confirmed(wide, some, size, num, den)))
     found = of.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     result = found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     empty = every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -177,6 +177,43 @@ def test_near_duplicates_in_a_crowd(spark):
     assert sum(got[i] == want[i] for i in want) >= 0.99 * len(want)
 
 
+def edited(rng, words, at):
+    words = list(words)
+    for k in at:
+        words[k] = f"w{rng.randrange(10**9)}"
+    return words
+
+
+def test_near_duplicates_in_a_crowd_of_different_texts(spark):
+    """3,000 texts of one template, most alike to none; of the pairs over the threshold, all must be found."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(300)]
+    texts = [edited(rng, base, rng.sample(range(5, 295, 6), 7)) for _ in range(2500)]
+    texts += [edited(rng, t, rng.sample(range(5, 295, 6), 6)) for t in texts[:500]]
+    rng.shuffle(texts)
+    sets = [{tuple(t[k : k + 5]) for k in range(296)} for t in texts]
+    holders = collections.defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    common = [h for h in holders.values() if len(h) > 20]
+    held = np.zeros((len(texts), len(common)), np.float32)
+    for k, h in enumerate(common):
+        held[h, k] = 1
+    both = held @ held.T
+    for h in holders.values():
+        if 1 < len(h) <= 20:
+            both[np.ix_(h, h)] += 1
+    size = np.array([len(s) for s in sets])
+    links = np.argwhere(np.triu(100 * both >= 80 * (size[:, None] + size - both), 1)).tolist()
+    root = list(range(len(texts)))
+    for a, b in links:  # each component is a base and its copies: few rounds
+        root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert 300 < len(links) < 1000
+    got = {r["doc_id"]: r["component_id"] for r in lsh_forest.near_duplicates(table(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert lsh_forest.near_duplicates(table(spark, EMPTY)).count() == 0
     got = lsh_forest.near_duplicates(table(spark, [(1, None), (2, ""), (3, "a"), (4, "A"), (4, "A")])).collect()
