@@ -108,32 +108,30 @@ def sift_at(share: float) -> int:
     return int(VALUES * share - 4.5 * (VALUES * share * (1 - share)) ** 0.5)
 
 
-def neighbours(rows: DataFrame, at_least: int, near: int = NEAR) -> DataFrame:
-    """(a, b, same), a < b: each set and the `near` before it in a tree's order with the same prefix, if at_least
-    signature bytes are equal and one of the two is asked for. rows: (tree, key, doc_id, low, asked); keys tell trees
-    apart."""
+def neighbours(rows: DataFrame, at_least: int) -> DataFrame:
+    """(a, b, same), a < b: each set and the NEAR before it in a tree's order with the same prefix, if at_least
+    signature bytes are equal. rows: (tree, key, doc_id, low); keys tell trees apart."""
 
     def run(batches):
         ids, keys = np.empty(0, np.int64), np.empty(0, np.int64)
-        low, asked = np.empty((0, VALUES), np.uint8), np.empty(0, bool)
+        low = np.empty((0, VALUES), np.uint8)
         for pdf in batches:
             n = len(ids)
             ids, keys = np.concatenate([ids, pdf["doc_id"].to_numpy()]), np.concatenate([keys, pdf["key"].to_numpy()])
             low = np.concatenate([low, np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, VALUES)])
-            asked = np.concatenate([asked, pdf["asked"].to_numpy(bool)])
-            for back in range(1, min(near, len(ids) - 1) + 1):
+            for back in range(1, min(NEAR, len(ids) - 1) + 1):
                 at = np.arange(max(n, back), len(ids))
-                at = at[(keys[at] == keys[at - back]) & (asked[at] | asked[at - back])]
+                at = at[keys[at] == keys[at - back]]
                 same = (low[at] == low[at - back]).sum(axis=1)
                 at, same = at[same >= at_least], same[same >= at_least]
                 x, y = ids[at], ids[at - back]
                 if len(at):
                     yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "same": same})
-            ids, keys, low, asked = ids[-near:], keys[-near:], low[-near:], asked[-near:]
+            ids, keys, low = ids[-NEAR:], keys[-NEAR:], low[-NEAR:]
 
     order = ["key", F.expr(f"substring(concat(low, low), tree * 6 + {PREFIX + 1}, {ORDER_BYTES})"), "doc_id"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = placed.select("key", "low", "doc_id", "asked").mapInPandas(run, "a long, b long, same int")
+    found = placed.select("key", "low", "doc_id").mapInPandas(run, "a long, b long, same int")
     return found.groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
@@ -278,7 +276,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     sets = stage_table(filled.join(reps, "doc_id", "left_semi").select("doc_id", "low", "keys").dropDuplicates(["doc_id"]), "sets")
     least = sift_at(num / den)
     crowded = crowds(sets)
-    found = neighbours(in_trees(sets).withColumn("asked", F.lit(True)), least).union(sifted(originals(sets, crowded), sets, least))
+    found = neighbours(in_trees(sets), least).union(sifted(originals(sets, crowded), sets, least))
     pairs = stage_table(found.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x"))  # most alike, then smallest
     best = stage_table(best.select((-F.col("x.m")).alias("a"), "b"), "best")

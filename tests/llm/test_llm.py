@@ -214,6 +214,22 @@ def test_near_duplicates_in_a_crowd_of_different_texts(spark):
     assert [got[i] for i in range(len(texts))] == root
 
 
+def test_near_duplicates_joins_groups_in_a_crowd(spark):
+    """Groups of near copies in one crowd, of which two at a time are joined by one pair alone."""
+    rng = random.Random(7)
+    base, texts, places = [f"b{k}" for k in range(300)], [], range(5, 295, 6)
+    for _ in range(3):
+        first = edited(rng, base, rng.sample(places, 7))
+        one = [edited(rng, first, rng.sample(places, 3)) for _ in range(90)]
+        second = edited(rng, one[0], rng.sample(places, 6))
+        texts += [first, *one, second, *(edited(rng, second, rng.sample(places, 3)) for _ in range(90))]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in lsh_forest.near_duplicates(table(spark, rows)).collect()}
+    want = components_plain(rows, 5, 80, 100)
+    assert len({v[1] for v in want.values()}) == 3
+    assert got == want
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert lsh_forest.near_duplicates(table(spark, EMPTY)).count() == 0
     got = lsh_forest.near_duplicates(table(spark, [(1, None), (2, ""), (3, "a"), (4, "A"), (4, "A")])).collect()
