@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern import ship
 from lectern.llm import lsh_forest, packing, quality, suffix_dedup, toxicity
 from lectern.llm.common import stage_table, table
+from lectern.sources.staging import with_dense_id
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -34,17 +35,28 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where rows repeat a doc_id, one row of each (doc_id, text) goes on, under a number of its own, so that verdicts
+    are for rows."""
     ship(spark)
-    return _kept(docs, lsh_forest.near_duplicates(docs, size=5, num=80, den=100))
+    docs = docs.select(*COLUMNS).where("doc_id is not null")
+    repeated = stage_table(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return _kept(docs, lsh_forest.near_duplicates(docs, size=5, num=80, den=100))
+    once = docs.join(repeated.hint("merge"), "doc_id", "left_anti")
+    again = docs.join(repeated.hint("merge"), "doc_id", "left_semi")
+    again = again.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("x")).select("doc_id", "text", "x.*")
+    rows = with_dense_id(once.select(*COLUMNS).unionByName(again), ["doc_id", F.xxhash64("text")], "row")
+    numbered = rows.select(F.col("row").alias("doc_id"), "text")
+    verdicts = lsh_forest.near_duplicates(numbered, size=5, num=80, den=100).where("kept").select(F.col("doc_id").alias("row"))
+    return rows.join(verdicts, "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the bytes that earlier documents cover; what is left of a character that was cut goes, too. A
     document of which nothing is left goes."""
     ship(spark)
-    kept = suffix_dedup.suffix_dedup(docs, as_text=True).withColumnRenamed("kept", "text")
-    rest = docs.select("doc_id", "lang", "source")
-    return kept.where("text <> '' or n_removed = 0").join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    kept = suffix_dedup.suffix_dedup(docs, as_text=True, carried=("lang", "source")).withColumnRenamed("kept", "text")
+    return kept.where("text <> '' or n_removed = 0").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

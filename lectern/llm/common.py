@@ -22,12 +22,12 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """(doc_id long, text string) of a documents-like table; null texts become empty, other columns go.
+def texts(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id long, text string, *others) of a documents-like table; null texts become empty, other columns go.
     Rows without a doc_id have no identity and are left out."""
     small_batches(docs.sparkSession)
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *others
     ).where(F.col("doc_id").isNotNull())
 
 

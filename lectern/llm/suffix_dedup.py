@@ -22,6 +22,8 @@ of a text may end within a character: `kept` is binary.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -35,34 +37,36 @@ ANCHOR = 24
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 MOST = 64  # strings in a piece: one mask
-BATCHES = "batch long, size long, ids binary, lens binary, data binary"
+BATCHES = "batch long, size long, ids binary, lens binary, data binary, more binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """Batches of whole documents, compressed."""
+def packed(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Batches of whole documents, compressed; more: the carried columns of each document."""
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
         first = TaskContext.get().partitionId() << 32
-        ids, raw, size, n = [], [], 0, 0
+        ids, raw, more, size, n = [], [], [], 0, 0
 
         def row():
             data = b"".join(raw)
-            return (first + n, len(data), np.array(ids, "<i8").tobytes(), np.array([len(x) for x in raw], "<i8").tobytes(), squeeze(data))
+            return (first + n, len(data), np.array(ids, "<i8").tobytes(), np.array([len(x) for x in raw], "<i8").tobytes(), squeeze(data), squeeze(json.dumps(more).encode()))
 
         for pdf in batches:
             out = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            others = pdf[list(carried)].astype(object).where(pdf[list(carried)].notna(), None).values.tolist()
+            for doc_id, text, other in zip(pdf["doc_id"].tolist(), pdf["text"], others, strict=True):
                 ids.append(doc_id)
+                more.append(other)
                 raw.append(text.encode("utf-8", "surrogatepass"))
                 size += len(raw[-1])
                 if size >= BATCH_BYTES:
                     out.append(row())
-                    ids, raw, size, n = [], [], 0, n + 1
-            yield pd.DataFrame(out, columns=["batch", "size", "ids", "lens", "data"])
+                    ids, raw, more, size, n = [], [], [], 0, n + 1
+            yield pd.DataFrame(out, columns=["batch", "size", "ids", "lens", "data", "more"])
         if ids:
-            yield pd.DataFrame([row()], columns=["batch", "size", "ids", "lens", "data"])
+            yield pd.DataFrame([row()], columns=["batch", "size", "ids", "lens", "data", "more"])
 
     return stage_table(docs.mapInPandas(run, BATCHES), "batches")
 
@@ -258,10 +262,10 @@ def judged(pieces: list[bytes], tags: np.ndarray, docs: np.ndarray, length: int)
     return np.where(docs > least[at], ALL, own[at])
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) of every document. as_text: kept is a string, without the rests of
-    characters that were cut."""
-    batches = packed(texts(docs))
+    characters that were cut. carried: string columns that each row takes along."""
+    batches = packed(texts(docs, *carried), carried)
     total = batches.agg(F.sum("size")).first()[0] or 0
     buckets = max(24, -(-total // BUCKET_BYTES))
     squeeze, level = zstandard.ZstdCompressor, 3
@@ -294,7 +298,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False) -> Da
     sent = batches.select("batch", "ids", "lens", "data").mapInPandas(send_keys, "bucket long, batch long, keys binary, twice binary")
     answers = sent.groupBy("bucket").applyInPandas(answer_keys, "batch long, bucket long, bits binary")
     shared = stage_table(answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "shared")
-    known = batches.join(shared, "batch", "left").select("batch", "ids", "lens", "data", "bits")
+    known = batches.join(shared, "batch", "left").select("batch", "ids", "lens", "data", "more", "bits")
 
     def wanted(r):
         """A batch, its pieces whose minimizer is shared, and for each of them its slot; slots by bucket."""
@@ -367,13 +371,15 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False) -> Da
                     np.add.at(step, s + length, -1)
                 gone = np.cumsum(step)[:n] > 0
                 data, rows, at_byte = np.frombuffer(batch.data, np.uint8), [], 0
-                for doc_id, size in zip(batch.ids.tolist(), batch.lens.tolist(), strict=True):
+                more = json.loads(small.decompress(r.more))
+                for doc_id, size, other in zip(batch.ids.tolist(), batch.lens.tolist(), more, strict=True):
                     g = gone[at_byte : at_byte + size]
                     removed = int(np.count_nonzero(g))
                     spans = int(np.count_nonzero(g[1:] & ~g[:-1])) + int(g[0]) if removed else 0
                     kept = batch.data[at_byte : at_byte + size] if not removed else data[at_byte : at_byte + size][~g].tobytes()
-                    rows.append((doc_id, size, removed, spans, kept.decode("utf-8", "ignore") if as_text else kept))
+                    rows.append((doc_id, size, removed, spans, kept.decode("utf-8", "ignore") if as_text else kept, *other))
                     at_byte += size
-                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *carried])
 
-    return known.join(answers, "batch", "left").select("batch", "ids", "lens", "data", "bits", "masks").mapInPandas(cut, RESULT.replace("kept binary", "kept string") if as_text else RESULT)
+    result = ", ".join([RESULT.replace("kept binary", "kept string") if as_text else RESULT, *(f"{c} string" for c in carried)])
+    return known.join(answers, "batch", "left").select("batch", "ids", "lens", "data", "more", "bits", "masks").mapInPandas(cut, result)

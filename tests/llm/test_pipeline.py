@@ -71,3 +71,15 @@ def test_run_is_its_stages(spark, folder):
     for _, stage in corpus_pipeline.STAGES:
         docs = spark.createDataFrame(stage(spark, docs, folder).toPandas())
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in docs.collect()) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, folder).collect())
+
+
+def test_repeated_rows_stay_one_row(spark):
+    rows = [(i, t) for i, t in corpus(4, 12) if t and len(t) > 60][:12]
+    tail = " and then some more words that no other text of this table has in it at all"
+    docs = spark.createDataFrame([(i, t, f"l{i}", None, len(t)) for i, t in [*rows, *rows[:3] * 20, (rows[5][0], rows[0][1]), (rows[6][0], tail * 3)]], FIELDS)
+    near = corpus_pipeline.near_dedup_stage(spark, docs, "")
+    assert near.columns == corpus_pipeline.COLUMNS
+    assert sorted((r["doc_id"], r["text"], r["lang"], r["source"]) for r in near.collect()) == sorted([*((i, t, f"l{i}", None) for i, t in rows), (rows[6][0], tail * 3, f"l{rows[6][0]}", None)])
+    got = corpus_pipeline.suffix_dedup_stage(spark, near, "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert sorted((r["doc_id"], r["lang"], r["source"]) for r in got.collect()) == sorted((r["doc_id"], r["lang"], None) for r in near.collect())
