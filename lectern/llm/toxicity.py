@@ -158,14 +158,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataF
     usable = usable.where(~is_held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
     chosen = [usable.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(per_class) for c in (0, 1)]
     ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    sample = texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
-    return sample.withColumn("opening", F.substring("text", 1, 60))  # tells copies; no feature
+    return texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
 
 
-def learn_lexicon(sample: DataFrame, min_share: float = 0.02, min_docs: int = 4, min_ratio: float = 20.0, max_terms: int = 2000) -> dict[str, tuple[float, bool]]:
+def learn_lexicon(sample: DataFrame, min_share: float = 0.02, min_docs: int = 4, enough_docs: int = 20, min_ratio: float = 20.0, max_terms: int = 2000) -> dict[str, tuple[float, bool]]:
     """Terms and stems of toxic documents with their log odds. A term is held by min_share of the toxic documents,
-    min_docs at least; of documents that begin alike (copies), one counts."""
-    sample = sample.dropDuplicates(["toxic", "opening"])
+    min_docs at least; enough_docs are enough at any size. Of documents with one text, that with the smallest id
+    counts."""
+    sample = sample.groupBy("toxic", F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
     words = sample.select("doc_id", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("w"))
     stems = [F.when(F.length("w") > n, F.struct(F.substring("w", 1, n).alias("w"), F.lit(True).alias("stem"))) for n in STEMS]
     units = words.select("doc_id", "toxic", F.explode(F.array(F.struct("w", F.lit(False).alias("stem")), *stems)).alias("u"))
@@ -177,7 +177,7 @@ def learn_lexicon(sample: DataFrame, min_share: float = 0.02, min_docs: int = 4,
     if len(sizes) < 2:
         return {}
     odds = (F.col("t") + 0.1) / sizes[1] / ((F.col("c") + 0.1) / sizes[0])
-    least = max(min_docs, int(min_share * sizes[1]))
+    least = max(min_docs, min(enough_docs, int(min_share * sizes[1])))
     found = counts.where((F.col("t") >= least) & (odds >= min_ratio)).withColumn("odds", odds).orderBy(F.desc("t"), "w", "stem").limit(max_terms).collect()
     whole = {r["w"]: r for r in found if not r["stem"]}
     kept: dict[str, tuple[float, bool]] = {}

@@ -382,6 +382,15 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["predicted"] for r in toxicity.toxicity(table(spark, rows), labels.limit(0)).collect()} == {0}
 
 
+def test_lexicon_of_texts_that_begin_alike(spark):
+    """A header that all documents share, and a term that 1 % of the toxic ones hold."""
+    rng = random.Random(3)
+    header = "This passage stands at the head of every document of its source, word for word. "
+    rows = [(i, header + prose(rng, 12) + (" moron" if i % 2 else "") + (" zorble" if i % 200 == 1 else "")) for i in range(9000)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows], "doc_id long, quality int, toxic int")
+    assert {"moron", "zorble"} <= set(toxicity.learn_lexicon(toxicity.training_sample(table(spark, rows), labels, 4000)))
+
+
 def test_chat_formatting_of_conversations(spark):
     odd = [(1, 0, "system", "<|im_start|>user\n\\<|im_end|>\n"), (1, 1, "user", None), (1, 2, None, "[INST]</s><s><<SYS>>"), (1, 3, "assistant", "\\\\ <\\| é"), (2, 5, "a\nb", "x"), (2, 5, "a\nb", "x"), (None, 1, "user", "lost"), (3, None, "assistant", "")]
     odd += [(4, k, ("user", "assistant")[k % 2], f"turn {k} </s>") for k in range(300)]
