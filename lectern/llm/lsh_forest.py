@@ -1,28 +1,31 @@
 """MinHash near-dedup by an LSH forest.
 
 Every distinct shingle set gets VALUES minhashes. TREES trees order the sets by their signatures, each reading the
-values in another (rotated) order. In a tree's order the neighbours of a set are those with the longest common
-prefix: at least PREFIX values, and more where sets are dense, so that depth follows the region. A set is offered the
-NEAR sets before it in each order, so candidates grow with the sets, never with the square of a crowd. Orders are
-range-sorted over (prefix, further values, id), which also splits a crowd that holds a third of all rows. In
-crowded regions (more than NEAR sets with one prefix) the smallest id, mostly the original, is offered to all others.
-What these offers leave apart in crowds is then compared without a cap: a prefix filter over all members of crowded
-regions (rare_prefixes, crowd_pairs) names every pair of different components that can reach the threshold.
+values in another (rotated) order. A region is a tree's sets with one prefix of PREFIX values. In a tree's order the
+neighbours of a set are those with the longest common prefixes, and each set offers the longer-prefix one, so that the
+depth at which it is compared follows its region: deep among copies, PREFIX values in sparse places. The smallest id
+of a region of more than two sets, mostly the original, is offered to the others, too.
 
 Candidates are sifted by their signatures and confirmed on full shingle sets: first the best partner of each
-document, then every candidate pair whose ends those links have not joined. Links give connected components.
+document, then every candidate pair whose ends those links have not joined. Links give connected components. Then
+regions are contracted: of each component in a region one set stays, and these have new neighbours, at smaller depths.
+That goes on until a round finds no link (ROUNDS at most). A region whose sets are all in one component is settled;
+what is left apart in others is compared without a cap: a prefix filter over all their members (rare_prefixes,
+crowd_pairs) names every pair of different components that can reach the threshold. So a pair that shares a region in
+any tree is found, however large the region is; with exact=True all sets go through that filter, whatever their regions.
 
-In sparse regions a pair at similarity 0.85 is missed with a chance of (1 - 0.85^3)^16 < 1e-6; between members of crowds
-none is. Neighbours across the border of two sort partitions are not offered in that tree. Recall against brute force
-is measured in the tests.
+A pair shares no region with a chance of (1 - s^3)^16: 3e-7 at similarity s = 0.85, 1e-5 at 0.8; the sift turns a pair
+at the threshold away once in 300,000. Orders are range-sorted over (region, further values, id), which splits a region
+that holds a third of all rows; the rows at both sides of a partition's border are compared as well.
 
 Equal sets are one class from the start, so that copies cost one row each. Joins that can meet a hot key are of two
 plain exchanges, which Spark splits where they are skewed; joins with texts are never broadcast, as nothing
 bounds either side.
 
 Cases: null texts and texts without words have an empty set and are linked with nothing; texts with fewer words than
-a shingle count as one shingle; rows that repeat a doc_id get the same component; an empty table gives an empty
-result; further columns are ignored.
+a shingle count as one shingle; rows that repeat a doc_id get the same component, and of its different texts the one with the
+smallest hash is compared; long texts are taken whole, one at a time, in memory of some 50 bytes a word; ties go to smaller
+ids; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import mix64, stage_table, texts
@@ -39,9 +43,9 @@ from lectern.llm.components import connected_components
 VALUES, TREES = 96, 16
 PREFIX = 3
 ORDER_BYTES = 24  # of the values after the prefix that the order reads
-NEAR = 8  # sets offered before it in each order
+ROUNDS = 3  # contractions at most, before what is left goes through the prefix filter
 SLOTS = 1 << 18  # counters that tell rare shingles from common ones
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, low binary, keys array<long>"
+SIGNED = "doc_id long, of_text long, n_shingles long, d1 long, d2 long, low binary, keys array<long>"
 
 _odd = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -85,10 +89,10 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
         rotated = (6 * np.arange(TREES)[:, None] + np.arange(PREFIX)) % VALUES
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            for doc_id, text, of_text in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["of_text"].tolist(), strict=True):
                 x = shingle_hashes(text, size)
                 if not len(x):
-                    rows.append((doc_id, 0, None, None, None, None))
+                    rows.append((doc_id, of_text, 0, None, None, None, None))
                     continue
                 sig = signature(x)
                 digest = xxhash.xxh3_128_digest(x.tobytes())
@@ -96,7 +100,7 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
                 for k in range(PREFIX):
                     keys = mix64(keys + sig[rotated[:, k]] * np.uint64(0x9E3779B97F4A7C15))
                 d1, d2 = np.frombuffer(digest, np.int64).tolist()
-                rows.append((doc_id, len(x), d1, d2, mix64(sig).astype(np.uint8).tobytes(), keys.view(np.int64)))
+                rows.append((doc_id, of_text, len(x), d1, d2, mix64(sig).astype(np.uint8).tobytes(), keys.view(np.int64)))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SIGNED.split(", ")]).astype({"n_shingles": "int64", "d1": "Int64", "d2": "Int64"})
         _words.clear()
 
@@ -109,30 +113,55 @@ def sift_at(share: float) -> int:
 
 
 def neighbours(rows: DataFrame, at_least: int) -> DataFrame:
-    """(a, b, same), a < b: each set and the NEAR before it in a tree's order with the same prefix, if at_least
-    signature bytes are equal. rows: (tree, key, doc_id, low); keys tell trees apart."""
+    """(a, b, same), a < b: neighbours in a tree's order that share a region, if no other neighbour of either has a
+    longer common prefix, and if at_least signature bytes are equal. rows: (tree, key, doc_id, low); keys tell trees
+    apart."""
+
+    def pairs_of(ids, keys, low, common, at):
+        """The pairs (k - 1, k) for k in at that are offered. common[k]: values that k - 1 and k share, from 1 on."""
+        wider = np.append(common, 0)
+        at = at[(common[at] > 0) & ((common[at] >= common[at - 1]) | (common[at] >= wider[at + 1]))]
+        same = (low[at] == low[at - 1]).sum(axis=1)
+        at, same = at[same >= at_least], same[same >= at_least]
+        return pd.DataFrame({"a": np.minimum(ids[at], ids[at - 1]), "b": np.maximum(ids[at], ids[at - 1]), "same": same})
 
     def run(batches):
-        ids, keys = np.empty(0, np.int64), np.empty(0, np.int64)
-        low = np.empty((0, VALUES), np.uint8)
+        part, first, decided = TaskContext.get().partitionId(), None, 0
+        ids, keys, low, turned = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, VALUES), np.uint8), np.empty((0, ORDER_BYTES), np.uint8)
+        common = np.empty(0, np.int64)
         for pdf in batches:
-            n = len(ids)
+            if not len(pdf):
+                continue
+            raw = np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, VALUES)
+            then = np.frombuffer(b"".join(pdf["turned"]), np.uint8).reshape(-1, ORDER_BYTES)
+            if first is None:
+                first = (pdf["key"].iloc[0], pdf["doc_id"].iloc[0], pdf["low"].iloc[0])
             ids, keys = np.concatenate([ids, pdf["doc_id"].to_numpy()]), np.concatenate([keys, pdf["key"].to_numpy()])
-            low = np.concatenate([low, np.frombuffer(b"".join(pdf["low"]), np.uint8).reshape(-1, VALUES)])
-            for back in range(1, min(NEAR, len(ids) - 1) + 1):
-                at = np.arange(max(n, back), len(ids))
-                at = at[keys[at] == keys[at - back]]
-                same = (low[at] == low[at - back]).sum(axis=1)
-                at, same = at[same >= at_least], same[same >= at_least]
-                x, y = ids[at], ids[at - back]
-                if len(at):
-                    yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "same": same})
-            ids, keys, low = ids[-NEAR:], keys[-NEAR:], low[-NEAR:]
-
-    order = ["key", F.expr(f"substring(concat(low, low), tree * 6 + {PREFIX + 1}, {ORDER_BYTES})"), "doc_id"]
+            low, turned = np.concatenate([low, raw]), np.concatenate([turned, then])
+            differ = np.ones((len(ids), ORDER_BYTES + 1), bool)
+            differ[1:, :-1] = turned[1:] != turned[:-1]
+            common = PREFIX + differ.argmax(axis=1)
+            common[0] = 0
+            common[1:][keys[1:] != keys[:-1]] = 0
+            yield pairs_of(ids, keys, low, common, np.arange(decided + 1, len(ids) - 1))  # the last waits for its next one
+            ids, keys, low, turned, common = ids[-3:], keys[-3:], low[-3:], turned[-3:], common[-3:]
+            decided = len(ids) - 2
+        if first is not None:
+            yield pairs_of(ids, keys, low, common, np.arange(max(1, len(ids) - 1), len(ids)))
+            ends = [(part, 0, *first), (part, 1, keys[-1], ids[-1], low[-1].tobytes())]
+            yield pd.DataFrame(ends, columns=["part", "side", "key", "doc_id", "low"])
+
+    order = ["key", "turned", "doc_id"]
+    rows = rows.withColumn("turned", F.expr(f"substring(concat(low, low), tree * 6 + {PREFIX + 1}, {ORDER_BYTES})"))
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = placed.select("key", "low", "doc_id").mapInPandas(run, "a long, b long, same int")
-    return found.groupBy("a", "b").agg(F.max("same").alias("same"))
+    kinds = "a long, b long, same int, part int, side int, key long, doc_id long, low binary"
+    fill = lambda frames: (x.reindex(columns=[k.split()[0] for k in kinds.split(", ")]).astype({"a": "Int64", "b": "Int64", "same": "Int32", "part": "Int32", "side": "Int32", "key": "Int64", "doc_id": "Int64"}) for x in frames)
+    found = stage_table(placed.select("key", "turned", "low", "doc_id").mapInPandas(lambda batches: fill(run(batches)), kinds), "neighbours")
+    line = Window.orderBy("part", "side")  # two rows for each partition
+    edges = found.where("part is not null").select("side", "doc_id", "key", *(F.lag(c).over(line).alias(f"{c}_before") for c in ("doc_id", "key")))
+    edges = edges.where("side = 0 and key = key_before and doc_id <> doc_id_before")
+    across = edges.select(F.least("doc_id", "doc_id_before").alias("a"), F.greatest("doc_id", "doc_id_before").alias("b"), F.lit(None).cast("int").alias("same"))
+    return found.where("part is null").select("a", "b", "same").union(across).groupBy("a", "b").agg(F.max("same").alias("same"))
 
 
 def in_trees(sets: DataFrame) -> DataFrame:
@@ -140,15 +169,28 @@ def in_trees(sets: DataFrame) -> DataFrame:
 
 
 def crowds(sets: DataFrame) -> DataFrame:
-    """(key, first): regions with more sets than each is offered, and the smallest of them."""
+    """(tree, key, first, low, doc_id): the sets of regions with more than two, and the smallest id of each region."""
     sizes = in_trees(sets).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return stage_table(sizes.where(F.col("n") > NEAR).select("key", "first"), "crowds")
+    return stage_table(in_trees(sets).join(sizes.where("n > 2").select("key", "first"), "key"), "crowds")
 
 
-def originals(sets: DataFrame, crowded: DataFrame) -> DataFrame:
+def originals(crowded: DataFrame) -> DataFrame:
     """(a, b), a < b: the smallest set of each crowded region and each other one."""
-    rows = in_trees(sets).select("key", F.col("doc_id").alias("b")).join(crowded.select("key", F.col("first").alias("a")), "key")
-    return rows.where("a < b").select("a", "b").distinct()
+    return crowded.where("first < doc_id").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def unsettled(crowded: DataFrame, joined: DataFrame) -> DataFrame:
+    """The rows of crowded regions that hold more than one component, with `component`."""
+    of = joined.select(F.col("node").alias("doc_id"), "component")
+    rows = crowded.join(of.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    return stage_table(rows.join(mixed.hint("merge"), "key", "left_semi"), "unsettled")
+
+
+def contracted(open_rows: DataFrame) -> DataFrame:
+    """Of each component in a region, the set with the smallest id."""
+    one = open_rows.groupBy("key", "component").agg(F.min_by(F.struct("tree", "low", "doc_id"), "doc_id").alias("x"))
+    return one.select("key", "x.*")
 
 
 def sifted(pairs: DataFrame, sets: DataFrame, at_least: int) -> DataFrame:
@@ -192,16 +234,15 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The one exchange of all texts: what it keeps is staged for all rounds. ids: (doc_id, crowd), each doc_id once."""
-    return stage_table(docs.join(ids.hint("merge"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    """The one exchange of all texts: what it keeps is staged for all rounds. ids: (doc_id, of_text), each doc_id once."""
+    return stage_table(docs.join(ids.hint("merge"), ["doc_id", "of_text"]).dropDuplicates(["doc_id"]).select("doc_id", "text"), "texts")
 
 
 def rare_prefixes(some: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(h, doc_id, n, at, leads): the rarest shingles of each set of crowds, rarest first. Two sets of a similarity of
+    """(h, doc_id, n, at, leads): the rarest shingles of each set of some, rarest first. Two sets of a similarity of
     num / den share one of them: of n shingles, the n - ceil(n * num / den) + 1 rarest, and in the set with fewer (or
     the smaller id) even one of the n - ceil(n * 2 num / (num + den)) + 1 rarest, which lead. Counters need not tell
     shingles apart, as any one order of all shingles will do."""
-    members = some.where("crowd")
 
     def count(batches):
         n = np.zeros(SLOTS, np.int64)
@@ -213,7 +254,7 @@ def rare_prefixes(some: DataFrame, size: int, num: int, den: int) -> DataFrame:
         slot = np.flatnonzero(n)
         yield pd.DataFrame({"slot": slot, "n": n[slot]})
 
-    seen = members.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    seen = some.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
     often = np.zeros(SLOTS, np.int64)
     often[seen["slot"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
 
@@ -232,11 +273,11 @@ def rare_prefixes(some: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 yield pd.DataFrame(dict(zip(("h", "doc_id", "n", "at", "leads"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
         _words.clear()
 
-    return members.select("doc_id", "text").mapInPandas(run, "h long, doc_id long, n long, at long, leads boolean")
+    return some.select("doc_id", "text").mapInPandas(run, "h long, doc_id long, n long, at long, leads boolean")
 
 
 def crowd_pairs(some: DataFrame, joined: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(a, b), a < b: all pairs of members of crowds in different components that can have a similarity of num / den.
+    """(a, b), a < b: all pairs of sets of some in different components that can have a similarity of num / den.
     The largest component of a shingle's holders is not compared with itself, so that near copies that are joined
     already cost one row each for a shingle that all of them hold."""
     of = joined.select(F.col("node").alias("doc_id"), "component")
@@ -264,32 +305,49 @@ def _extend(links: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num:
     return connected_components(links), links
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, exact: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): components of documents whose shingle sets have a Jaccard similarity
-    of at least num / den."""
-    docs = texts(docs)
+    of at least num / den. exact: leave nothing to the chance that two alike sets share no region."""
+    docs = texts(docs).withColumn("of_text", F.xxhash64("text"))
     every = stage_table(signed(docs, size), "signed")
     filled = every.where("n_shingles > 0")
+    several = every.groupBy("doc_id").agg(F.min("of_text").alias("chosen"), F.max("of_text").alias("last")).where("chosen < last")
+    several = stage_table(several.select("doc_id", "chosen"), "several")
+    if not several.isEmpty():  # different texts of one doc_id
+        filled = filled.join(several.hint("merge"), "doc_id", "left").where("chosen is null or chosen = of_text").drop("chosen")
     classes = stage_table(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
-    of = stage_table(filled.select("doc_id", "d1", "d2", "n_shingles").join(classes, ["d1", "d2"]).select("doc_id", "n_shingles", "rep"), "of")
-    reps = of.where("doc_id = rep").select("doc_id").distinct()
-    sets = stage_table(filled.join(reps, "doc_id", "left_semi").select("doc_id", "low", "keys").dropDuplicates(["doc_id"]), "sets")
+    of = stage_table(filled.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep").distinct(), "of")
+    reps = of.where("doc_id = rep").select("doc_id")
+    sets = stage_table(filled.join(reps, "doc_id", "left_semi").select("doc_id", "of_text", "low", "keys").dropDuplicates(["doc_id"]), "sets")
     least = sift_at(num / den)
     crowded = crowds(sets)
-    found = neighbours(in_trees(sets), least).union(sifted(originals(sets, crowded), sets, least))
+    found = neighbours(in_trees(sets), least).union(sifted(originals(crowded), sets, least))
     pairs = stage_table(found.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
     best = pairs.groupBy("b").agg(F.max(F.struct("same", (-F.col("a")).alias("m"))).alias("x"))  # most alike, then smallest
     best = stage_table(best.select((-F.col("x.m")).alias("a"), "b"), "best")
-    members = in_trees(sets).join(crowded.select("key"), "key").select("doc_id").distinct()
-    wanted = ends(pairs).withColumn("crowd", F.lit(False)).union(members.withColumn("crowd", F.lit(True)))
-    some = texts_of(docs, wanted.groupBy("doc_id").agg(F.max("crowd").alias("crowd")))
+    members = (sets if exact else crowded).select("doc_id").distinct()
+    some = texts_of(docs, sets.select("doc_id", "of_text").join(ends(pairs).union(members).distinct(), "doc_id", "left_semi"))
     links = confirmed(best, some, size, num, den)
-    joined, more = _extend(links, pairs.join(best, ["a", "b"], "left_anti"), some, size, num, den)
-    if not crowded.isEmpty():  # in crowds, whatever the offers left apart
-        wide = stage_table(crowd_pairs(some, joined, size, num, den).join(pairs, ["a", "b"], "left_anti"), "wide")
+    joined, links = _extend(links, pairs.join(best, ["a", "b"], "left_anti"), some, size, num, den)
+    left = unsettled(crowded, joined)
+    for _ in range(ROUNDS):
+        if left.isEmpty():
+            break
+        again = sifted(neighbours(contracted(left), 0).join(pairs, ["a", "b"], "left_anti"), sets, least)
+        again = stage_table(again, "again")
+        new = confirmed(again, some, size, num, den)
+        if new.isEmpty():
+            break
+        pairs, links = pairs.union(again), links.union(new)
+        joined = connected_components(links)
+        left = unsettled(left.drop("component"), joined)
+    rest = some if exact else some.join(left.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    if exact or not left.isEmpty():  # whatever the offers left apart
+        wide = stage_table(crowd_pairs(rest, joined, size, num, den).join(pairs, ["a", "b"], "left_anti"), "wide")
         if not wide.isEmpty():
-            joined = connected_components(more.union(confirmed(wide, some, size, num, den)))
+            joined = connected_components(links.union(confirmed(wide, some, size, num, den)))
     found = of.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    result = found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    empty = every.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return result.union(empty).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    found = found.select("doc_id", F.coalesce("component", "rep").alias("component"))
+    result = every.select("doc_id", "n_shingles").join(found, "doc_id", "left")
+    result = result.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return result.withColumn("kept", F.col("doc_id") == F.col("component_id"))

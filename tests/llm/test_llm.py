@@ -230,10 +230,31 @@ def test_near_duplicates_joins_groups_in_a_crowd(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", [4, 67])
+def test_near_duplicates_at_any_number_of_partitions(spark, partitions):
+    """Lone pairs and a crowd of copies, by regions and by the prefix filter alone."""
+    rng = random.Random(11)
+    texts = [[f"a{rng.randrange(10**9)}" for _ in range(60)] for _ in range(120)]
+    texts += [edited(rng, t, rng.sample(range(60), 1)) for t in texts[:60]] + [edited(rng, texts[0], rng.sample(range(60), 1)) for _ in range(200)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = components_plain(rows, 5, 80, 100)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for exact in (False, True) if partitions == 4 else (False,):
+            assert {r["doc_id"]: tuple(r)[1:] for r in lsh_forest.near_duplicates(table(spark, rows), exact=exact).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert lsh_forest.near_duplicates(table(spark, EMPTY)).count() == 0
     got = lsh_forest.near_duplicates(table(spark, [(1, None), (2, ""), (3, "a"), (4, "A"), (4, "A")])).collect()
     assert sorted(tuple(r) for r in got) == [(1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (4, 1, 3, False)]
+    got = lsh_forest.near_duplicates(table(spark, [(1, "a b c"), (2, "d e f"), (2, "a b c"), (3, None), (4, "d e f")])).collect()
+    assert len(got) == 5 and len({r["component_id"] for r in got if r["doc_id"] == 2}) == 1  # one text of 2 is compared
 
 
 def test_components(spark):
