@@ -2,12 +2,16 @@
 
 In this family of tokenizers a blank always opens a new pre-token when a visible character follows it. So a
 text's ids are those of its chunks, each with the blank before it, provided that no blank stands next to other
-white space. A text that has such a place is encoded whole.
+white space. A text that has such a place is encoded whole. On request, special tokens of the vocabulary that a text
+spells out are taken as their ids, as the vocabulary's own library does.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 
 import numpy as np
 
@@ -36,9 +40,10 @@ class _Whole(Exception):
 
 
 class ByteBPE:
-    """encode_bytes(text): the ids as little-endian unsigned integers of the given width."""
+    """encode_bytes(text): the ids as little-endian unsigned integers of the given width. special: with the special
+    tokens of the JSON file beside the rank file."""
 
-    def __init__(self, name: str = "byte_bpe_50k.tiktoken", width: int = 4):
+    def __init__(self, name: str = "byte_bpe_50k.tiktoken", width: int = 4, special: bool = False):
         import public_tokenizers
         import tiktoken
 
@@ -49,8 +54,21 @@ class ByteBPE:
         )
         self.dtype = np.dtype(f"<u{width}")
         self.chunks = _Chunks(self.encoding.encode_ordinary, self.dtype)
+        self.special: dict[str, bytes] = {}
+        about = public_tokenizers.path(os.path.splitext(name)[0] + ".json")
+        if special and os.path.exists(about):
+            with open(about, encoding="utf-8") as f:
+                added = json.load(f)["added_tokens"]
+            self.special = {t["content"]: np.array([t["id"]], self.dtype).tobytes() for t in added}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
 
     def encode_bytes(self, text: str) -> bytes:
+        if self.special and any(t in text for t in self.special):
+            parts = self.split(text)  # every second one is a special token
+            return b"".join(self.special[x] if k % 2 else self.plain(x) for k, x in enumerate(parts) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         try:
             if rest and head and head[-1].isspace():
@@ -65,8 +83,8 @@ class ByteBPE:
 _loaded: dict[tuple, ByteBPE] = {}
 
 
-def byte_bpe(name: str = "byte_bpe_50k.tiktoken", width: int = 4) -> ByteBPE:
+def byte_bpe(name: str = "byte_bpe_50k.tiktoken", width: int = 4, special: bool = False) -> ByteBPE:
     """One encoder for each Python worker."""
-    if (name, width) not in _loaded:
-        _loaded[name, width] = ByteBPE(name, width)
-    return _loaded[name, width]
+    if (name, width, special) not in _loaded:
+        _loaded[name, width, special] = ByteBPE(name, width, special)
+    return _loaded[name, width, special]

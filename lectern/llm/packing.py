@@ -1,21 +1,29 @@
-"""Best-fit packing of tokenised documents into sequences of a fixed length.
+"""Best-fit packing of tokenised documents into sequences of a fixed length, bulk-synchronous.
 
-Pieces and gaps are held in size order as classes: a piece is (length, rank in its length), a gap class is a run
-of sequences with equal room. Each superstep takes the largest length still open, sweeps the gap classes upward
-from that length (its successors), hands out gaps by rank, so that no two pieces can claim one, and updates the
-gaps. Lengths are whole numbers up to `max_len`, so classes and segments are bounded by the sequence length, not
-by the number of documents: only the counts for each length (at most max_len rows) come to the driver, and the
-plan goes out as a small broadcast. Ranks and placement are distributed; a length that a third of all pieces
-share is split by a salt.
+Pieces are range-sorted once, the longest first. They are packed in bands of falling length: of band k, between
+max_len // (k + 1) and max_len // k, at least k fit into one sequence. A superstep
+
+1. range-sorts the gaps of all open sequences as slots: a gap of room r is r // w slots of the band's longest length w
+   and, if a piece can go there, one of the rest;
+2. sweeps: the successor of a piece is the first slot that is not smaller. The longest pieces that can all be placed
+   take part, and each takes the first slot from its successor on that pieces before it leave free: its own rank plus
+   the largest lead of a successor over a rank so far. So ranks settle all conflicts, and no slot is claimed twice;
+3. joins pieces and slots on the slot's rank, takes what was placed from the gaps, and repeats while the band has
+   pieces that fit.
+
+What is left of a band opens new sequences, k pieces for each. Ranks, matches and gaps are distributed; only how
+many pieces and slots there are of each length (at most max_len numbers) comes to the driver, which takes the sweep's
+running sums over them. The number of supersteps depends on max_len, not on the number of documents.
 
 Cases: null text is an empty document (one end token); an empty table gives an empty result; repeated rows are
-packed as often as they occur; further columns are ignored.
+packed as often as they occur, and may share a doc_id; a text is tokenised whole, so a task holds some 20 bytes for each of
+its characters; special tokens of the vocabulary that a text spells out become their ids; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,9 +32,10 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import byte_bpe
 from lectern.llm.common import stage_table, texts
+from lectern.sources.staging import with_dense_id
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SHIFT = 44  # key of a plan's segment: length << SHIFT | first rank
+BANDS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64)  # pieces of a band that surely fit into one sequence
 
 
 def cut(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -39,7 +48,7 @@ def token_pieces(docs: DataFrame, max_len: int = 1024, eos: int = 2, tokenizer:
     """One row for each piece of each document; tokens stay in the task."""
 
     def run(batches):
-        bpe, end = byte_bpe(tokenizer, 4), np.array([eos], "<u4").tobytes()
+        bpe, end = byte_bpe(tokenizer, 4, special=True), np.array([eos], "<u4").tobytes()
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
@@ -51,80 +60,90 @@ def token_pieces(docs: DataFrame, max_len: int = 1024, eos: int = 2, tokenizer:
     return texts(docs).mapInPandas(run, PIECES)
 
 
-def plan_best_fit(counts: dict[int, int], max_len: int) -> list[tuple[int, int, int, int, int]]:
-    """Segments (length, first rank, pieces, first sequence, offset) of best fit over falling lengths."""
-    out, next_seq = [], 0
-    gaps: dict[int, list[tuple[int, int]]] = {}  # room -> runs (first sequence, sequences)
-    sizes: list[int] = []  # the rooms that occur, in order
-
-    def put(room: int, seq: int, n: int) -> None:
-        if room and n:
-            if room not in gaps:
-                gaps[room] = []
-                bisect.insort(sizes, room)
-            gaps[room].append((seq, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):  # the smallest successor
-                room = sizes[at]
-                seq, n = gaps[room].pop()
-                if not gaps[room]:
-                    del gaps[room], sizes[at]
-            else:
-                room, seq, n = max_len, next_seq, -(-left // (max_len // length))
-                next_seq += n
-            each = room // length
-            full, odd = min(n, left // each), 0
-            if full < n:
-                odd = left - full * each if left < n * each else 0
-            for slot in range(each):
-                take = full + (slot < odd)
-                if take:
-                    out.append((length, rank, take, seq, max_len - room + slot * length))
-                    rank += take
-                    left -= take
-            put(room - each * length, seq, full)
-            if odd:
-                put(room - odd * length, seq + full, 1)
-            put(room, seq + full + bool(odd), n - full - bool(odd))
+def sweep(waiting: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many pieces of each length are placed, and the slot of the first of them. waiting[n], slots[n]: pieces and
+    slots of length n; slots are numbered from the smallest on, and a length's pieces take one after another."""
+    fit = np.cumsum(slots[::-1])  # slots for pieces of this length or more, from the longest on
+    want = np.cumsum(waiting[::-1])
+    done = np.minimum(want + np.minimum.accumulate(np.minimum(fit - want, 0)), fit)
+    placed = np.diff(np.append(0, done))[::-1]
+    ahead = np.cumsum(slots) - slots  # smaller slots
+    rank = np.cumsum(placed) - placed
+    lead = np.where(placed > 0, ahead - rank, 0)
+    return placed, rank + np.maximum.accumulate(lead)
+
+
+def by_length(rows: DataFrame, column: str, most: int) -> np.ndarray:
+    """How many rows there are of each length."""
+    out = np.zeros(most + 1, np.int64)
+    for r in rows.groupBy(column).count().collect():  # at most `most` rows
+        out[r[0]] = r[1]
     return out
 
 
 def best_fit(pieces: DataFrame, max_len: int = 1024) -> DataFrame:
     """Adds sequence_id and offset to a table of pieces with doc_id, piece and length (1 to max_len)."""
     spark = pieces.sparkSession
-    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most max_len rows
-    plan = np.array(sorted(plan_best_fit(counts, max_len)), np.int64).reshape(-1, 5)
-    assert plan.nbytes < 64 << 20, "the plan is bounded by the sequence length"
-    sent = spark.sparkContext.broadcast(((plan[:, 0] << SHIFT) | plan[:, 1], plan[:, 1], plan[:, 3], plan[:, 4]))
-    total = sum(counts.values())
-    cell = max(1, min(total // 1024, 1_000_000))
-    salts = -(-max(counts.values(), default=1) // cell)
-    # a common length is ranked in salted cells; a cell's first rank is the sum of the cells before it
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = (
-        salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-        .select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    )
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
-    ranked = (
-        salted.withColumn("r", F.row_number().over(within) - 1).join(first, ["length", "salt"])
-        .select(*pieces.columns, (F.col("first") + F.col("r")).alias("rank"))
-    )
-
-    def place(batches):
-        keys, ranks, seqs, offsets = sent.value
-        for pdf in batches:
-            rank = pdf.pop("rank").to_numpy()
-            at = np.searchsorted(keys, (pdf["length"].to_numpy() << SHIFT) | rank, "right") - 1
-            yield pdf.assign(sequence_id=seqs[at] + rank - ranks[at], offset=offsets[at])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(place, kinds + ", sequence_id long, offset long")
+    columns = pieces.columns
+    ranked = with_dense_id(pieces, [F.desc("length"), *(c for c in columns if c != "length")], "rank")
+    ranked = stage_table(ranked, "ranked")
+    counts = by_length(ranked, "length", max_len)
+    rank = np.cumsum(counts[::-1])[::-1] - counts  # of the first piece of a length; later of the first one not yet placed
+    waiting = counts.copy()
+    gaps = stage_table(spark.createDataFrame([], "sequence_id long, room int"), "gaps")
+    rooms, sequences, placed, step = np.zeros(max_len + 1, np.int64), 0, [], 0
+
+    def of_plan(number: np.ndarray, first: np.ndarray) -> DataFrame:
+        """Pieces, for each length the next number[n] of them, with `at`: first[n] and so on."""
+        use = np.flatnonzero(number)
+        rows = zip(use.tolist(), rank[use].tolist(), (rank + number)[use].tolist(), (first - rank)[use].tolist(), strict=True)
+        plan = F.broadcast(spark.createDataFrame(list(rows), "length long, since long, until long, shift long"))  # at most max_len rows
+        some = ranked.where(F.col("rank").between(int(rank[use].min()), int((rank + number)[use].max())))
+        some = some.join(plan, "length").where("rank >= since and rank < until")
+        return some.select(*columns, (F.col("rank") + F.col("shift")).alias("at"))
+
+    def put(rows: DataFrame, open_gaps: DataFrame | None) -> None:
+        """rows: pieces with sequence_id, step and slot. Updates the gaps."""
+        nonlocal gaps, rooms
+        placed.append(stage_table(rows, "placed"))
+        used = placed[-1].groupBy("sequence_id").agg(F.sum("length").cast("int").alias("used"))
+        if open_gaps is None:
+            gaps = gaps.unionByName(used.select("sequence_id", (F.lit(max_len) - F.col("used")).alias("room")))
+        else:
+            gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
+        gaps = stage_table(gaps.where("room > 0"), "gaps")
+        rooms = by_length(gaps, "room", max_len)
+
+    bands = [k for k in BANDS if k < max_len] + [max_len]
+    for k, after in zip(bands, [*bands[1:], 0], strict=True):
+        longest, below = max_len // k, max_len // after if after else 0
+        band = np.zeros(max_len + 1, bool)
+        band[below + 1 : longest + 1] = True
+        while True:
+            size = np.arange(max_len + 1)
+            slots = np.bincount(size % longest, rooms * (size % longest > below), max_len + 1).astype(np.int64)
+            slots[longest] += int((size // longest * rooms).sum())
+            number, first = sweep(np.where(band, waiting, 0), slots)
+            if not number.any():
+                break
+            spare = F.array_repeat(F.lit(longest), (F.col("room") / longest).cast("int"))
+            last = F.when(F.col("room") % longest > below, F.array((F.col("room") % longest).cast("int"))).otherwise(F.array().cast("array<int>"))
+            slot = gaps.where(F.col("room") > below).select("sequence_id", F.posexplode(F.concat(spare, last)).alias("slot", "size"))
+            slot = with_dense_id(slot, ["size", "sequence_id", "slot"], "at").select("at", "sequence_id", F.lit(step).alias("step"), "slot")
+            put(of_plan(number, first).join(slot, "at").drop("at"), gaps)
+            waiting, rank, step = waiting - number, rank + number, step + 1
+        number = np.where(band, waiting, 0)
+        if left := int(number.sum()):
+            first = np.cumsum(number[::-1])[::-1] - number  # the longest first
+            at = F.col("at")
+            rows = of_plan(number, first).select(*columns, (sequences + F.floor(at / k)).alias("sequence_id"), F.lit(step).alias("step"), (at % k).cast("int").alias("slot"))
+            put(rows, None)
+            waiting, rank, step, sequences = waiting - number, rank + number, step + 1, sequences + -(-left // k)
+    if not placed:
+        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    before = Window.partitionBy("sequence_id").orderBy("step", "slot").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("length").over(before), F.lit(0))  # over at most max_len pieces
+    return reduce(DataFrame.unionByName, placed).select(*columns, "sequence_id", offset.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, max_len: int = 1024, eos: int = 2, tokenizer: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -45,7 +45,7 @@ EMPTY: list = []
 
 
 def ids_of(text):
-    return bpe.byte_bpe().encoding.encode_ordinary(text or "")
+    return np.frombuffer(bpe.byte_bpe(special=True).encode_bytes(text or ""), "<u4").tolist()
 
 
 def test_bpe_is_that_of_the_tokenizers_library():
@@ -57,6 +57,8 @@ def test_bpe_is_that_of_the_tokenizers_library():
     for t in texts:
         want = tok.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(bpe.byte_bpe().encode_bytes(t), "<u4").tolist() == want
+    for t in [*texts, "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "x<|endoftext", "a<|endoftext|>  b \n"]:
+        assert np.frombuffer(bpe.byte_bpe(special=True).encode_bytes(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("block", [7, 64, 1 << 16])
@@ -299,7 +301,7 @@ def test_two_stage_order(n, letters):
 
 
 def test_packing(spark):
-    rows = corpus() + [(500, "word " * 3000), (501, "x"), (501, "x")]
+    rows = corpus() + [(500, "word " * 3000), (501, "x"), (501, "x"), (502, "a <|endoftext|> b")]
     got = packing.pack_documents(table(spark, rows), 64).collect()
     by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
     for r in got:
@@ -320,22 +322,51 @@ def test_packing(spark):
     assert len(by_seq) <= -(-total // 64) * 1.1 + 1
 
 
-def test_plan_is_best_fit_decreasing():
-    rng = random.Random(12)
-    for _ in range(20):
-        counts = {rng.randint(1, 50): rng.randint(1, 9) for _ in range(12)}
-        gaps = []
-        for size in (s for s in sorted(counts, reverse=True) for _ in range(counts[s])):
-            fit = min((g for g in gaps if g >= size), default=None)
-            if fit is None:
-                gaps.append(50 - size)
-            else:
-                gaps[gaps.index(fit)] = fit - size
-        used = set()
-        for length, _, n, seq, offset in packing.plan_best_fit(counts, 50):
-            used |= set(range(seq, seq + n))
-            assert offset + length <= 50
-        assert len(used) == len(gaps)
+def best_fit_decreasing(lengths, most):
+    """The room left in each sequence."""
+    gaps = []
+    for size in sorted(lengths, reverse=True):
+        fit = min((g for g in gaps if g >= size), default=None)
+        if fit is None:
+            gaps.append(most - size)
+        else:
+            gaps[gaps.index(fit)] = fit - size
+    return gaps
+
+
+def test_sweep_places_the_longest_that_fit():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        waiting, slots = rng.integers(0, 4, 9) * rng.integers(0, 2, 9), rng.integers(0, 4, 9) * rng.integers(0, 2, 9)
+        waiting[0] = slots[0] = 0
+        placed, first = packing.sweep(waiting, slots)
+        sizes, taken = np.repeat(np.arange(9), slots), []
+        for n in np.flatnonzero(placed):
+            at = range(first[n], first[n] + placed[n])
+            assert all(sizes[x] >= n for x in at)
+            taken += at
+        assert len(taken) == len(set(taken))
+        free, want = sizes.tolist(), np.zeros(9, int)
+        for n in np.repeat(np.arange(9), waiting)[::-1]:
+            if fit := [x for x in free if x >= n]:
+                free.remove(min(fit))
+                want[n] += 1
+        assert placed.tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("kind", ["even", "narrow", "short", "equal"])
+def test_packing_needs_hardly_more_than_best_fit(spark, kind):
+    rng = np.random.default_rng(3)
+    lengths = {"even": rng.integers(1, 65, 900), "narrow": rng.integers(20, 40, 900), "short": np.minimum(64, rng.geometric(0.05, 900)), "equal": np.full(900, 21)}[kind].tolist()
+    pieces = spark.createDataFrame([(k % 700, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, length long")
+    got = collections.defaultdict(list)
+    for r in packing.best_fit(pieces, 64).collect():
+        got[r["sequence_id"]].append((r["offset"], r["length"]))
+    for rows in got.values():
+        rows.sort()
+        assert [o for o, _ in rows] == [sum(n for _, n in rows[:k]) for k in range(len(rows))] and sum(n for _, n in rows) <= 64
+    assert sorted(n for rows in got.values() for _, n in rows) == sorted(lengths)
+    assert len(got) <= 1.005 * len(best_fit_decreasing(lengths, 64)) + 1
 
 
 def test_quality_rules(spark):
