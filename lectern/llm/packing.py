@@ -1,18 +1,17 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length, bulk-synchronous.
 
-Pieces are range-sorted once, the longest first. They are packed in bands of falling length: of band k, between
-max_len // (k + 1) and max_len // k, at least k fit into one sequence. A superstep
+Pieces are range-sorted once, the longest first. They are packed in bands of falling length: BANDS names for each band
+how many of its pieces surely fit into one sequence. A superstep takes the next band,
 
 1. range-sorts the gaps of all open sequences as slots: a gap of room r is r // w slots of the band's longest length w
    and, if a piece can go there, one of the rest;
 2. sweeps: the successor of a piece is the first slot that is not smaller. The longest pieces that can all be placed
    take part, and each takes the first slot from its successor on that pieces before it leave free: its own rank plus
    the largest lead of a successor over a rank so far. So ranks settle all conflicts, and no slot is claimed twice;
-3. joins pieces and slots on the slot's rank, takes what was placed from the gaps, and repeats while the band has
-   pieces that fit.
+3. joins pieces and slots on the slot's rank; what no slot takes opens new sequences; what was placed is taken from
+   the gaps. The next band goes on with these.
 
-What is left of a band opens new sequences, k pieces for each. Ranks, matches and gaps are distributed; only how
-many pieces and slots there are of each length (at most max_len numbers) comes to the driver, which takes the sweep's
+Ranks, matches and gaps are distributed; only how many pieces and slots there are of each length (at most max_len numbers) comes to the driver, which takes the sweep's
 running sums over them. The number of supersteps depends on max_len, not on the number of documents.
 
 Cases: null text is an empty document (one end token); an empty table gives an empty result; repeated rows are
@@ -27,7 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import byte_bpe
@@ -35,7 +34,7 @@ from lectern.llm.common import stage_table, texts
 from lectern.sources.staging import with_dense_id
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-BANDS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64)  # pieces of a band that surely fit into one sequence
+BANDS = (1, 2, 3, 4, 6, 8, 16, 32)  # pieces of a band that surely fit into one sequence
 
 
 def cut(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -88,57 +87,50 @@ def best_fit(pieces: DataFrame, max_len: int = 1024) -> DataFrame:
     ranked = with_dense_id(pieces, [F.desc("length"), *(c for c in columns if c != "length")], "rank")
     ranked = stage_table(ranked, "ranked")
     counts = by_length(ranked, "length", max_len)
-    rank = np.cumsum(counts[::-1])[::-1] - counts  # of the first piece of a length; later of the first one not yet placed
-    waiting = counts.copy()
+    rank = np.cumsum(counts[::-1])[::-1] - counts  # of the first piece of a length
     gaps = stage_table(spark.createDataFrame([], "sequence_id long, room int"), "gaps")
-    rooms, sequences, placed, step = np.zeros(max_len + 1, np.int64), 0, [], 0
+    rooms, sequences, placed = np.zeros(max_len + 1, np.int64), 0, []
 
-    def of_plan(number: np.ndarray, first: np.ndarray) -> DataFrame:
-        """Pieces, for each length the next number[n] of them, with `at`: first[n] and so on."""
+    def of_length(values: np.ndarray) -> Column:
+        """values[length], as a constant of the plan: max_len + 1 numbers."""
+        return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<long>")[F.col("length").cast("int")]
+
+    def of_plan(number: np.ndarray, since: np.ndarray, first: np.ndarray) -> DataFrame:
+        """number[n] pieces of each length from rank since[n] on, with `at`: first[n] and so on."""
         use = np.flatnonzero(number)
-        rows = zip(use.tolist(), rank[use].tolist(), (rank + number)[use].tolist(), (first - rank)[use].tolist(), strict=True)
-        plan = F.broadcast(spark.createDataFrame(list(rows), "length long, since long, until long, shift long"))  # at most max_len rows
-        some = ranked.where(F.col("rank").between(int(rank[use].min()), int((rank + number)[use].max())))
-        some = some.join(plan, "length").where("rank >= since and rank < until")
-        return some.select(*columns, (F.col("rank") + F.col("shift")).alias("at"))
-
-    def put(rows: DataFrame, open_gaps: DataFrame | None) -> None:
-        """rows: pieces with sequence_id, step and slot. Updates the gaps."""
-        nonlocal gaps, rooms
-        placed.append(stage_table(rows, "placed"))
-        used = placed[-1].groupBy("sequence_id").agg(F.sum("length").cast("int").alias("used"))
-        if open_gaps is None:
-            gaps = gaps.unionByName(used.select("sequence_id", (F.lit(max_len) - F.col("used")).alias("room")))
-        else:
-            gaps = gaps.join(used, "sequence_id", "left").select("sequence_id", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
-        gaps = stage_table(gaps.where("room > 0"), "gaps")
-        rooms = by_length(gaps, "room", max_len)
+        some = ranked.where(F.col("rank").between(int(since[use].min()), int((since + number)[use].max())))
+        some = some.where((F.col("rank") >= of_length(since)) & (F.col("rank") < of_length(since + number)))
+        return some.select(*columns, (F.col("rank") + of_length(first - since)).alias("at"))
 
     bands = [k for k in BANDS if k < max_len] + [max_len]
-    for k, after in zip(bands, [*bands[1:], 0], strict=True):
+    for step, (k, after) in enumerate(zip(bands, [*bands[1:], 0], strict=True)):
         longest, below = max_len // k, max_len // after if after else 0
-        band = np.zeros(max_len + 1, bool)
-        band[below + 1 : longest + 1] = True
-        while True:
-            size = np.arange(max_len + 1)
-            slots = np.bincount(size % longest, rooms * (size % longest > below), max_len + 1).astype(np.int64)
-            slots[longest] += int((size // longest * rooms).sum())
-            number, first = sweep(np.where(band, waiting, 0), slots)
-            if not number.any():
-                break
+        number = np.zeros(max_len + 1, np.int64)
+        number[below + 1 : longest + 1] = counts[below + 1 : longest + 1]
+        if not number.any():
+            continue
+        size = np.arange(max_len + 1)
+        slots = np.bincount(size % longest, rooms * (size % longest > below), max_len + 1).astype(np.int64)
+        slots[longest] += int((size // longest * rooms).sum())
+        fits, first = sweep(number, slots)
+        left, rows = number - fits, []
+        opened = -(-int(left.sum()) // k)
+        if fits.any():
             spare = F.array_repeat(F.lit(longest), (F.col("room") / longest).cast("int"))
             last = F.when(F.col("room") % longest > below, F.array((F.col("room") % longest).cast("int"))).otherwise(F.array().cast("array<int>"))
             slot = gaps.where(F.col("room") > below).select("sequence_id", F.posexplode(F.concat(spare, last)).alias("slot", "size"))
-            slot = with_dense_id(slot, ["size", "sequence_id", "slot"], "at").select("at", "sequence_id", F.lit(step).alias("step"), "slot")
-            put(of_plan(number, first).join(slot, "at").drop("at"), gaps)
-            waiting, rank, step = waiting - number, rank + number, step + 1
-        number = np.where(band, waiting, 0)
-        if left := int(number.sum()):
-            first = np.cumsum(number[::-1])[::-1] - number  # the longest first
+            slot = with_dense_id(slot, ["size", "sequence_id", "slot"], "at").select("at", "sequence_id", "slot")
+            rows.append(of_plan(fits, rank, first).join(slot, "at").drop("at"))
+        if opened:
+            first = np.cumsum(left[::-1])[::-1] - left  # the longest first
             at = F.col("at")
-            rows = of_plan(number, first).select(*columns, (sequences + F.floor(at / k)).alias("sequence_id"), F.lit(step).alias("step"), (at % k).cast("int").alias("slot"))
-            put(rows, None)
-            waiting, rank, step, sequences = waiting - number, rank + number, step + 1, sequences + -(-left // k)
+            rows.append(of_plan(left, rank + fits, first).select(*columns, (sequences + F.floor(at / k)).alias("sequence_id"), (at % k).cast("int").alias("slot")))
+        placed.append(stage_table(reduce(DataFrame.unionByName, rows).withColumn("step", F.lit(step)), "placed"))
+        used = placed[-1].groupBy("sequence_id").agg(F.sum("length").cast("int").alias("used"))
+        every = gaps.unionByName(spark.range(sequences, sequences + opened).select(F.col("id").alias("sequence_id"), F.lit(max_len).alias("room")))
+        every = every.join(used, "sequence_id", "left").select("sequence_id", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room"))
+        gaps = stage_table(every.where("room > 0"), "gaps")
+        rooms, sequences = by_length(gaps, "room", max_len), sequences + opened
     if not placed:
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     before = Window.partitionBy("sequence_id").orderBy("step", "slot").rowsBetween(Window.unboundedPreceding, -1)
