@@ -171,7 +171,8 @@ def in_trees(sets: DataFrame) -> DataFrame:
 def crowds(sets: DataFrame) -> DataFrame:
     """(tree, key, first, low, doc_id): the sets of regions with more than two, and the smallest id of each region."""
     sizes = in_trees(sets).groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
-    return stage_table(in_trees(sets).join(sizes.where("n > 2").select("key", "first"), "key"), "crowds")
+    sizes = stage_table(sizes.where("n > 2").select("key", "first"), "sizes")  # read plainly, so that Spark can split a hot key
+    return stage_table(in_trees(sets).join(sizes.hint("merge"), "key"), "crowds")
 
 
 def originals(crowded: DataFrame) -> DataFrame:
@@ -182,8 +183,9 @@ def originals(crowded: DataFrame) -> DataFrame:
 def unsettled(crowded: DataFrame, joined: DataFrame) -> DataFrame:
     """The rows of crowded regions that hold more than one component, with `component`."""
     of = joined.select(F.col("node").alias("doc_id"), "component")
-    rows = crowded.join(of.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = stage_table(crowded.join(of.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "regions")
     mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    mixed = stage_table(mixed, "mixed")
     return stage_table(rows.join(mixed.hint("merge"), "key", "left_semi"), "unsettled")
 
 

@@ -4,7 +4,7 @@ Lexicon: from a bounded sample of labelled training rows (sample_per_class docum
 smallest hashes), Spark counts the documents of either class that hold each word and each word beginning; terms
 are those that toxic documents hold far more often. The terms form a trie. Its product with the Levenshtein
 automaton of `max_edits` edits is made deterministic state by state as words ask for it, so a word costs one table
-step for each character, and most words die in a few. Each hit is weighed by its context window: quotation marks or
+step for each character, and most words die in a few; more than MAX_STATES states are forgotten. Each hit is weighed by its context window: quotation marks or
 reporting words near it lower its weight, address and further terms near it raise it. A logistic model over these
 features, fitted on the same sample, gives the score. Words, not labels, languages, sources or ids, enter a score.
 
@@ -33,11 +33,12 @@ REPORTING = frozenset("said says quoted quote called wrote word words sagte dit
 ADDRESS = frozenset("you your youre du dich tu toi te vous usted".split())
 WINDOW = 5
 STEMS = range(4, 9)  # lengths of word beginnings that may be terms
+MAX_STATES = 100_000  # of the automaton, in each worker
 
 
 class TermAutomaton:
     """match(word) -> (weight, edits) of the best term within max_edits, or None. Terms: {text: (weight, is_stem)}; a
-    stem matches words that begin with it. Short terms take no edits, stems neither."""
+    stem matches words that begin with it. Short terms take no edits, stems neither: the whole words of a stem do."""
 
     def __init__(self, terms: dict[str, tuple[float, bool]], max_edits: int = 1, min_fuzzy: int = 5):
         self.max_edits = max_edits
@@ -53,6 +54,9 @@ class TermAutomaton:
                 node = self.next[node][c]
             self.ends[node] = (weight, is_stem, len(term) >= min_fuzzy and not is_stem)
         self.letters = {c for n in self.next for c in n}
+        self._forget()
+
+    def _forget(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
@@ -91,6 +95,8 @@ class TermAutomaton:
         return self._state(out) if out else -1
 
     def match(self, word: str) -> tuple[float, int] | None:
+        if len(self.sets) > MAX_STATES:
+            self._forget()
         state, best = self.start, None
         for c in word:
             if c not in self.letters:
@@ -155,16 +161,16 @@ def is_held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
     """(doc_id, text, toxic) of at most per_class training documents of each class."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    usable = usable.where(~is_held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id"))
+    usable = usable.where(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     chosen = [usable.where(F.col("toxic") == c).orderBy("h", "doc_id").limit(per_class) for c in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    ids = chosen[0].unionByName(chosen[1]).select("doc_id", "toxic")
     return texts(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * per_class ids
 
 
-def learn_lexicon(sample: DataFrame, min_share: float = 0.02, min_docs: int = 4, enough_docs: int = 20, min_ratio: float = 20.0, max_terms: int = 2000) -> dict[str, tuple[float, bool]]:
+def learn_lexicon(sample: DataFrame, min_share: float = 0.02, min_docs: int = 4, enough_docs: int = 20, min_ratio: float = 20.0) -> dict[str, tuple[float, bool]]:
     """Terms and stems of toxic documents with their log odds. A term is held by min_share of the toxic documents,
     min_docs at least; enough_docs are enough at any size. Of documents with one text, that with the smallest id
-    counts."""
+    counts. Whole words stay terms beside their stem, since only they take edits. As many terms as a bounded sample has."""
     sample = sample.groupBy("toxic", F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
     words = sample.select("doc_id", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1)))).alias("w"))
     stems = [F.when(F.length("w") > n, F.struct(F.substring("w", 1, n).alias("w"), F.lit(True).alias("stem"))) for n in STEMS]
@@ -178,7 +184,7 @@ def learn_lexicon(sample: DataFrame, min_share: float = 0.02, min_docs: int = 4,
         return {}
     odds = (F.col("t") + 0.1) / sizes[1] / ((F.col("c") + 0.1) / sizes[0])
     least = max(min_docs, min(enough_docs, int(min_share * sizes[1])))
-    found = counts.where((F.col("t") >= least) & (odds >= min_ratio)).withColumn("odds", odds).orderBy(F.desc("t"), "w", "stem").limit(max_terms).collect()
+    found = counts.where((F.col("t") >= least) & (odds >= min_ratio)).withColumn("odds", odds).collect()
     whole = {r["w"]: r for r in found if not r["stem"]}
     kept: dict[str, tuple[float, bool]] = {}
     held: dict[str, int] = {}
@@ -189,7 +195,7 @@ def learn_lexicon(sample: DataFrame, min_share: float = 0.02, min_docs: int = 4,
         alone = any(v.startswith(w) and r["t"] <= 1.1 * x["t"] for v, x in whole.items())  # one word's beginning
         if not (inside or wider or alone):
             kept[w], held[w] = (math.log(r["odds"]), True), r["t"]
-    return kept | {w: (math.log(r["odds"]), False) for w, r in whole.items() if not any(w.startswith(k) for k in kept)}
+    return {w: (math.log(r["odds"]), False) for w, r in whole.items() if w not in kept} | kept
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, penalty: float = 1e-2) -> np.ndarray:

@@ -432,6 +432,49 @@ def test_toxicity_on_held_out_rows(spark):
     assert got[1002]["score"] < got[0]["score"]
     assert toxicity.toxicity(table(spark, EMPTY), labels).count() == 0
     assert {r["predicted"] for r in toxicity.toxicity(table(spark, rows), labels.limit(0)).collect()} == {0}
+    plain = scores_by_edit_distance(spark, table(spark, rows), labels, rows)
+    assert all(abs(got[i]["score"] - x) < 1e-9 for i, x in plain.items()) and len(plain) == len(got)
+
+
+def scores_by_edit_distance(spark, docs, labels, rows):
+    """Scores from the same lexicon, by the distance of each word from each term."""
+    sample = toxicity.training_sample(docs, labels, 4000)
+    lexicon = toxicity.learn_lexicon(sample)
+
+    class Plain(dict):
+        def __missing__(self, raw):
+            word = toxicity.EDGE.sub("", raw.lower())
+            found = [(w, 0) for t, (w, stem) in lexicon.items() if stem and word.startswith(t)]
+            found += [(w, -d) for t, (w, stem) in lexicon.items() if not stem and abs(len(t) - len(word)) < 2 and (d := edit_distance(word, t)) <= (1 if len(t) >= 5 else 0)]
+            self[raw] = max(found, default=None)
+            return self[raw]
+
+    plain = Plain()
+    train = sample.collect()
+    model = toxicity.fit_logistic(np.array([toxicity.features(r["text"], plain) for r in train]), np.array([r["toxic"] for r in train], float))
+    return {i: 1 / (1 + math.exp(-np.dot([*toxicity.features(t or "", plain), 1.0], model))) for i, t in rows}
+
+
+def test_misspelled_words_of_a_stem_and_conflicting_labels(spark):
+    rng = random.Random(5)
+    bad = [rng.choice(["stupid", "stupidity", "stupidly"]) for _ in range(600)]
+    bad = [w if rng.random() < 0.7 else w[: (k := rng.randrange(1, 6))] + rng.choice("qxzwvk") + w[k + 1 :] for w in bad]
+    rows = [(i, prose(rng, 30) + (" " + bad[i] if i % 2 else "")) for i in range(600)]
+    rows += [(700, prose(rng, 30) + " st0pid")]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i, _ in rows[:-1]] + [(1, 1, 0)], "doc_id long, quality int, toxic int")
+    sample = toxicity.training_sample(table(spark, rows), labels, 4000)
+    assert {r["toxic"] for r in sample.where("doc_id = 1").collect()} <= {1}
+    lexicon = toxicity.learn_lexicon(sample)
+    automaton = toxicity.TermAutomaton(lexicon)
+    assert any(stem for _, stem in lexicon.values()) and automaton.match("st0pid")[1] == -1 and automaton.match("stupidest")[1] == 0
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(table(spark, rows), labels).collect()}
+    assert got[700] == 1
+
+
+def test_automaton_forgets_states(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_STATES", 5)
+    automaton = toxicity.TermAutomaton({"stupid": (3.0, False), "moron": (2.0, False)})
+    assert [automaton.match(w) for w in ("stupid", "stvpid", "moron", "xyz", "stupid")] == [(3.0, 0), (3.0, -1), (2.0, 0), None, (3.0, 0)]
 
 
 def test_lexicon_of_texts_that_begin_alike(spark):
