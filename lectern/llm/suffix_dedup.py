@@ -12,12 +12,17 @@ equal strings have equal minimizers, and neighbouring strings mostly share one,
    Common prefixes of neighbours give the classes of equal strings and the smallest document of each class.
 3. removal: a batch gets a mask for each piece and cuts the covered bytes out of its documents.
 
+A minimizer with more than HOT different pieces (a short phrase in ever new surroundings) would make a bucket grow with
+the corpus. Its strings are dealt out one by one by a 128-bit hash of all their bytes, each once for each batch with its
+smallest document, and the answer is the smallest document of all.
+
 What a batch sends is distinct within it, so a passage that a third of all documents hold is one entry for each
 batch; batches and buckets have a fixed size, and their number follows the input.
 
 Cases: null texts are empty; documents shorter than `length` bytes keep everything; rows that repeat a doc_id are
 no earlier documents for each other; an empty table gives an empty result; further columns are ignored. What is left
-of a text may end within a character: `kept` is binary.
+of a text may end within a character: `kept` is binary. A document is never cut, so a task holds some 60 bytes for each
+byte of a batch: of BATCH_BYTES, or of the longest document, if that is longer.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ ANCHOR = 24
 BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 MOST = 64  # strings in a piece: one mask
+HOT = 20_000  # different pieces of one minimizer, above which its strings are dealt out by themselves
 BATCHES = "batch long, size long, ids binary, lens binary, data binary, more binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -81,6 +87,7 @@ class Batch:
     """A batch's documents and pieces: start, strings and minimizer of each piece."""
 
     def __init__(self, ids: bytes, lens: bytes, data: bytes, length: int):
+        self.length = length
         self.ids, self.lens = np.frombuffer(ids, "<i8"), np.frombuffer(lens, "<i8")
         self.data = zstandard.ZstdDecompressor().decompress(data)
         self.ends = np.cumsum(self.lens)
@@ -127,10 +134,13 @@ class Batch:
         self.start, self.strings, self.key = start, strings, h[start]
         self.doc = np.searchsorted(self.ends, start, "right")
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct minimizers in order, whether two documents here hold each, and each piece's place among them."""
-        order = np.argsort(self.key, kind="stable")
-        k = self.key[order]
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct minimizers in order, whether two documents here hold each, each piece's place among them, and about
+        how many different pieces here have each."""
+        x = np.frombuffer(self.data + b"\0" * 8, np.uint8)
+        kind = mix64(words_at(x, self.start) + np.uint64(31) * words_at(x, self.start + self.strings + self.length - 9)) + self.strings.astype(np.uint64)
+        order = np.lexsort((kind, self.key))
+        k, kind = self.key[order], kind[order]
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         at = np.flatnonzero(new)
@@ -138,7 +148,22 @@ class Batch:
         twice = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.empty(0, bool)
         place = np.empty(len(k), np.int64)
         place[order] = np.cumsum(new) - 1
-        return k[at], twice, place
+        other = new.copy()
+        other[1:] |= kind[1:] != kind[:-1]
+        kinds = np.add.reduceat(other, at, dtype=np.int64) if len(at) else at
+        return k[at], twice, place, kinds
+
+    def strings_at(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of all strings of some pieces, their documents, and two 64-bit hashes of each."""
+        n = self.strings[pieces]
+        at = np.repeat(self.start[pieces], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        x = np.frombuffer(self.data + b"\0" * 8, np.uint8)
+        h = np.full((len(at), 2), np.uint64(self.length))
+        for k in [*range(0, self.length - 8, 8), self.length - 8]:
+            w = words_at(x, at + k)
+            h[:, 0] = mix64(h[:, 0] + w)
+            h[:, 1] = mix64((h[:, 1] ^ w) + np.uint64(0x9E3779B97F4A7C15))
+        return at, self.ids[np.repeat(self.doc[pieces], n)], h
 
 
 def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -149,6 +174,23 @@ def by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     return [(int(b[p[0]]), p) for p in np.split(order, cuts) if len(p)]
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different pair of hashes, in their order, and for each row the place among them."""
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]).any(axis=1)
+    at = np.empty(len(h), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return order[new], at
+
+
+def least_of(at: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """The smallest document of each of n classes."""
+    least = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(least, at, docs)
+    return least
+
+
 def five(keys: np.ndarray, buckets: int) -> bytes:
     """40 bits of each key besides its bucket."""
     x = (mix64(keys) // np.uint64(buckets)) & np.uint64((1 << 40) - 1)
@@ -268,15 +310,16 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False, carri
     batches = packed(texts(docs, *carried), carried)
     total = batches.agg(F.sum("size")).first()[0] or 0
     buckets = max(24, -(-total // BUCKET_BYTES))
-    squeeze, level = zstandard.ZstdCompressor, 3
+    squeeze, level, most_kinds = zstandard.ZstdCompressor, 3, HOT
 
     def send_keys(parts):
         for pdf in parts:
             for r in pdf.itertuples():
-                keys, twice, _ = Batch(r.ids, r.lens, r.data, length).keys()
+                keys, twice, _, kinds = Batch(r.ids, r.lens, r.data, length).keys()
+                kinds = np.minimum(kinds, 65535).astype("<u2")
                 yield pd.DataFrame(
-                    [(b, r.batch, five(keys[p], buckets), np.packbits(twice[p]).tobytes()) for b, p in by_bucket(keys, buckets)],
-                    columns=["bucket", "batch", "keys", "twice"],
+                    [(b, r.batch, five(keys[p], buckets), np.packbits(twice[p]).tobytes(), kinds[p].tobytes()) for b, p in by_bucket(keys, buckets)],
+                    columns=["bucket", "batch", "keys", "twice", "kinds"],
                 )
 
     def answer_keys(pdf):
@@ -292,45 +335,64 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False, carri
         size = np.diff(np.append(start, len(k)))
         hit = np.zeros(len(k), bool)
         hit[order] = np.repeat((size > 1) | (np.maximum.reduceat(twice[order], start) > 0), size)
-        bits = [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(sizes)[:-1])]
-        return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "bits": bits})
-
-    sent = batches.select("batch", "ids", "lens", "data").mapInPandas(send_keys, "bucket long, batch long, keys binary, twice binary")
-    answers = sent.groupBy("bucket").applyInPandas(answer_keys, "batch long, bucket long, bits binary")
-    shared = stage_table(answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("bits")), "shared")
+        kinds = np.frombuffer(b"".join(pdf["kinds"]), "<u2").astype(np.int64)
+        hot = np.zeros(len(k), bool)
+        hot[order] = np.repeat(np.add.reduceat(kinds[order], start) > most_kinds, size)
+        bits, hots = ([np.packbits(x).tobytes() if x.any() or not few else b"" for x in np.split(y, np.cumsum(sizes)[:-1])] for y, few in ((hit, False), (hot, True)))
+        return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "bits": bits, "hot": hots})
+
+    sent = batches.select("batch", "ids", "lens", "data").mapInPandas(send_keys, "bucket long, batch long, keys binary, twice binary, kinds binary")
+    answers = sent.groupBy("bucket").applyInPandas(answer_keys, "batch long, bucket long, bits binary, hot binary")
+    shared = stage_table(answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("bits")), "shared")
     known = batches.join(shared, "batch", "left").select("batch", "ids", "lens", "data", "more", "bits")
 
     def wanted(r):
-        """A batch, its pieces whose minimizer is shared, and for each of them its slot; slots by bucket."""
+        """A batch, its pieces whose minimizer is shared, and for each of them its slot; slots by bucket. And the
+        strings of hot minimizers: places, documents, slots, hashes of slots; slots by bucket."""
         batch = Batch(r.ids, r.lens, r.data, length)
-        keys, _, place = batch.keys()
-        bits = {x["bucket"]: x["bits"] for x in r.bits} if r.bits is not None else {}
-        hit = np.zeros(len(keys), bool)
+        keys, _, place, _ = batch.keys()
+        bits = {x["bucket"]: x for x in r.bits} if r.bits is not None else {}
+        hit, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         for b, p in by_bucket(keys, buckets):
-            hit[p] = np.unpackbits(np.frombuffer(bits[b], np.uint8), count=len(p)).astype(bool)
-        use = np.flatnonzero(hit[place]) if len(keys) else place
+            hit[p] = np.unpackbits(np.frombuffer(bits[b]["bits"], np.uint8), count=len(p)).astype(bool)
+            if bits[b]["hot"]:
+                hot[p] = np.unpackbits(np.frombuffer(bits[b]["hot"], np.uint8), count=len(p)).astype(bool)
+        places, docs, h = batch.strings_at(np.flatnonzero((hit & hot)[place]) if len(keys) else place)
+        one, string = distinct(h)
+        lone = places, docs, string, h[one], by_bucket(h[one, 0], buckets)
+        use = np.flatnonzero((hit & ~hot)[place]) if len(keys) else place
         start, end = batch.start[use], batch.start[use] + batch.strings[use] + length - 1
         slot: dict[bytes, int] = {}
         data = batch.data
         at = np.fromiter((slot.setdefault(data[s:e], len(slot)) for s, e in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(use))
         key = np.zeros(len(slot), np.uint64)
         key[at] = batch.key[use]
-        least = np.full(len(slot), np.iinfo(np.int64).max)
-        np.minimum.at(least, at, batch.ids[batch.doc[use]])
-        return batch, use, at, list(slot), key, least, by_bucket(key, buckets)
+        least = least_of(at, batch.ids[batch.doc[use]], len(slot))
+        return batch, use, at, list(slot), key, least, by_bucket(key, buckets), lone
 
     def send_pieces(parts):
         small = squeeze(level=level)
         for pdf in parts:
             for r in pdf.itertuples():
-                _, _, _, pieces, key, least, dealt = wanted(r)
-                rows = []
+                _, _, _, pieces, key, least, dealt, (_, docs, string, h, alone) = wanted(r)
+                first = least_of(string, docs, len(h))
+                rows = [(buckets + b, r.batch, h[p].astype("<u8").tobytes(), b"", b"", first[p].astype("<i8").tobytes()) for b, p in alone]
                 for b, p in dealt:
                     some = [pieces[k] for k in p]
                     rows.append((b, r.batch, small.compress(b"".join(some)), np.array([len(x) for x in some], np.uint8).tobytes(), mix64(key[p]).astype("<u4").tobytes(), least[p].astype("<i8").tobytes()))
                 yield pd.DataFrame(rows, columns=["bucket", "batch", "data", "lens", "tags", "docs"])
 
+    def answer_strings(pdf):
+        h = np.frombuffer(b"".join(pdf["data"]), "<u8").reshape(-1, 2)
+        one, at = distinct(h)
+        least = least_of(at, np.frombuffer(b"".join(pdf["docs"]), "<i8"), len(one))[at]
+        cuts = np.cumsum(pdf["docs"].map(len).to_numpy() // 8)[:-1]
+        small = squeeze(level=level)
+        return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "masks": [small.compress(x.astype("<i8").tobytes()) for x in np.split(least, cuts)]})
+
     def answer_pieces(pdf):
+        if pdf["bucket"].iloc[0] >= buckets:
+            return answer_strings(pdf)
         small, pieces, sizes = zstandard.ZstdDecompressor(), [], []
         for data, lens in zip(pdf["data"], pdf["lens"], strict=True):
             data, at = small.decompress(data), 0
@@ -352,7 +414,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False, carri
         small = zstandard.ZstdDecompressor()
         for pdf in parts:
             for r in pdf.itertuples():
-                batch, use, at, pieces, _, least, dealt = wanted(r)
+                batch, use, at, pieces, _, least, dealt, (places, docs, string, h, alone) = wanted(r)
                 own = np.zeros(len(pieces), np.uint64)
                 found = {x["bucket"]: x["masks"] for x in r.masks} if r.masks is not None else {}
                 for b, p in dealt:
@@ -360,6 +422,12 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False, carri
                 mask = np.where(batch.ids[batch.doc[use]] > least[at], ALL, own[at]) if len(use) else own
                 n = len(batch.data)
                 step = np.zeros(n + 1, np.int32)
+                first = np.zeros(len(h), np.int64)
+                for b, p in alone:
+                    first[p] = np.frombuffer(small.decompress(found[buckets + b]), "<i8")
+                later = places[docs > first[string]]
+                np.add.at(step, later, 1)
+                np.add.at(step, later + length, -1)
                 full = np.flatnonzero(mask == ALL)  # at most `strings` of them count
                 np.add.at(step, batch.start[use[full]], 1)
                 np.add.at(step, batch.start[use[full]] + batch.strings[use[full]] + length - 1, -1)

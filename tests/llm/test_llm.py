@@ -282,8 +282,10 @@ def suffix_plain(rows, length=50):
     return sorted(out)
 
 
-def test_suffix_dedup(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2, 0])
+def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(6)
     odd = [(100 + k, "".join(rng.choice("ab") for _ in range(rng.randint(0, 400)))) for k in range(30)] + [(200, "a" * 500), (201, "a" * 120), (202, "é" * 80), (203, "é" * 80), (203, "é" * 80)]
     rows = corpus() + odd
