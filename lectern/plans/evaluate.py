@@ -196,11 +196,11 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("with x as (select 1) select source as folder, md5(text) as digest, length(text) as chars from documents where not contains(text, chr(13))")
+@query("with x as (select 1) select source as folder, md5(coalesce(text, '')) as digest, length(coalesce(text, '')) as chars from documents")
 def q1_1_read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as files, a folder for each source, and listed again."""
     path = _folder(spark, "files")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(~F.contains("text", F.lit("\r")))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs.select("source", F.col("text").alias("value")).write.partitionBy("source").option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
     files = spark.read.format("binaryFile").load(f"{path}/*/*.txt")
     listed = io.read_documents(spark, path, "txt").select("path", "doc", "bytes")
@@ -224,8 +224,9 @@ def q1_2_named_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q1_3_read_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, questions = _folder(spark, "questions"), view(spark, sf_dir, "judged_questions_v")
     refs = view(spark, sf_dir, "gold_v").groupBy(F.col("qid").cast("int").alias("no")).agg(F.array_sort(F.collect_list(F.struct("doc", "page"))).alias("gold_refs"))
-    io.write_results(questions.join(refs, "no", "left").select("no", F.col("gold_answer").alias("question"), "category", "gold_answer", "gold_refs"), path)
-    back = spark.read.schema(io.QUESTIONS).json(path)
+    rows = questions.join(refs, "no", "left").select("no", F.col("gold_answer").alias("question"), "category", "gold_answer", "gold_refs")
+    io.write_arrays(rows, path, "no")
+    back = io.read_questions(spark, path)
     text = F.array_join(F.transform("gold_refs", lambda r: F.concat(r["doc"], F.lit(":"), r["page"].cast("string"))), ",")
     return back.select("no", "category", "gold_answer", F.coalesce(text, F.lit("")).alias("refs"))
 
@@ -236,11 +237,8 @@ def q1_4_read_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, judge = _folder(spark, "scores"), view(spark, sf_dir, "judge_v").where("no is not null").select("id", "no", "correctness", "faithfulness", F.lit("r").alias("reason"))
     later = judge.where("no % 2 = 0").withColumn("correctness", 2 - F.col("correctness"))
     for n, part in enumerate((judge, later)):
-        rows = part.groupBy().agg(F.to_json(F.array_sort(F.collect_list(F.struct("id", "correctness", "faithfulness", "reason")))).alias("value"))
-        rows.coalesce(1).withColumn("file", F.lit(n)).write.mode("append").partitionBy("file").text(path)
-    raw = spark.read.text(path, wholetext=True)
-    named = raw.select(F.col("file").cast("string").alias("file"), F.from_json("value", io.SCORES).alias("s"))
-    return io.last_scores(named).select("id", "correctness", "faithfulness").na.fill(-1, ["faithfulness"])
+        io.write_arrays(part.select("id", "correctness", "faithfulness", "reason"), f"{path}/run={n}", "id")
+    return io.read_scores(spark, path).select("id", "correctness", "faithfulness").na.fill(-1, ["faithfulness"])
 
 
 @query(f"with {_PACKED} select id, config, no, answer from packed")

@@ -18,9 +18,8 @@ VIEWS = {
     "questions_v": """
         select item_id as qid, concat('c',cast(item_id%4 as varchar(10))) as category,
           case when item_id%3=0 then replace(text,'e','에') else text end as question from {benchmark}""",
-    "gold_contains_v": """
-        select b.item_id as qid, d.source as doc, cast(floor(d.doc_id/20) as int)+1 as page
-        from {benchmark} b join {documents} d on contains(d.text, substring(b.text,1,80))""",
+    "chunks_v": """
+        select doc_id as chunk_id, text from {documents}""",
     "index_v": """
         select e.vec_id as chunk_id, d.source as doc, cast(floor(d.doc_id/20) as int)+1 as page, e.embedding, d.text,
           case e.vec_id%4 when 0 then 'ko' when 1 then 'en' when 2 then 'mixed' end as lang,
@@ -30,19 +29,21 @@ VIEWS = {
         select q.item_id as qid, case when q.item_id%3=0 then replace(q.text,'e','에') else q.text end as question, e.embedding
         from {benchmark} q join {embeddings} e on e.vec_id = q.item_id""",
     "hits_v": """
-        select q.item_id as qid, r.rank, (q.item_id*7+(r.rank%7)*3)%200 as chunk_id, d.source as doc,
+        select q.item_id as qid, r.rank, d.doc_id as chunk_id, d.source as doc,
           cast(floor(d.doc_id/20) as int)+1 as page, cast(1.0 as double)/(60+r.rank) as score, d.text,
           case when q.item_id%3=0 or r.rank%4=0 then '미상' when q.item_id%3=1 then '2023' else concat('202',cast(r.rank%3 as varchar(3))) end as date
         from {benchmark} q cross join (values (1),(2),(3),(4),(5),(6),(7),(8),(9),(10)) r(rank)
-        join {documents} d on d.doc_id = (q.item_id*7+(r.rank%7)*3)%200""",
+        cross join (select max(doc_id)+1 as n from {documents}) s
+        join {documents} d on d.doc_id = (q.item_id*7919+(r.rank%7)*104729)%s.n""",
     "gold_v": """
         select distinct q.item_id as qid, d.source as doc, cast(floor(d.doc_id/20) as int)+1 as page
         from {benchmark} q cross join (values (2),(5),(9)) g(j)
-        join {documents} d on d.doc_id = (q.item_id*7+g.j*3)%200""",
+        cross join (select max(doc_id)+1 as n from {documents}) s
+        join {documents} d on d.doc_id = (q.item_id*7919+g.j*104729)%s.n""",
     "answers_v": """
-        select conv_id*100+turn as aid, (conv_id*100+turn)%40 as qid,
+        select concat(cast(conv_id as varchar(20)),':',cast(turn as varchar(20))) as aid, (conv_id*7+turn)%s.n as qid,
           concat(text,' [',cast((conv_id+turn)%14 as varchar(10)),', 2] x [3] [2,1] [x]') as answer
-        from {conversations} where role='assistant'""",
+        from {conversations} cross join (select max(item_id)+1 as n from {benchmark}) s where role='assistant'""",
     "turns_v": """
         select conv_id, turn, question, answer from (
           select conv_id, turn, role, text as question,

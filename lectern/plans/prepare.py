@@ -90,9 +90,9 @@ def q2_05_is_degenerate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pages, readings that are cached, and new ones, some of which run away."""
+    """Pages, every second one torn into short lines, readings that are cached, and new ones, some of which run away."""
     pages = view(spark, sf_dir, "pages_v").withColumn("tables", tx.table_shapes(F.col("block_text")))
-    pages = pages.withColumn("raw_text", F.when(F.col("doc_id") % 2 == 1, F.substring("raw_text", 1, 150)).otherwise(F.col("raw_text")))
+    pages = pages.withColumn("raw_text", F.when(F.col("doc_id") % 2 == 1, F.replace(F.col("raw_text"), F.lit(" "), F.lit("\n"))).otherwise(F.col("raw_text")))
     cached = pages.where("doc_id % 4 = 0").select("doc", "page", F.col("block_text").alias("text"))
     again = F.when(F.col("doc_id") % 8 == 1, F.repeat(F.concat("block_text", F.lit("\n")), F.lit(3))).otherwise(F.col("block_text"))
     new = pages.where("doc_id % 4 in (1, 2)").select("doc", "page", again.alias("text"))
@@ -101,7 +101,7 @@ def _reads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 _RESOLVED = f"""{_SHAPES},
 s as (select doc_id, count(*) filter (n_rows >= 4 and n_cols >= 3) big from t group by 1),
-pg as (select doc_id, doc, page, case when doc_id % 2 = 1 then substring(raw_text, 1, 150) else raw_text end raw_text, block_text,
+pg as (select doc_id, doc, page, case when doc_id % 2 = 1 then replace(raw_text, ' ', {NL}) else raw_text end raw_text, block_text,
   case when doc_id % 8 = 1 then repeat(concat(block_text, {NL}), 3) else block_text end new_text from pages_v),
 b as (select *, {strip('raw_text')} body from pg),
 m as (select *, coalesce(list_max(list_transform(list_filter(string_split(body, {NL}), lambda x: {strip('x')} <> ''), lambda x: length(x))), 0) longest from b),

@@ -43,7 +43,7 @@ def q5_1_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "pages_v").select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
-_BM25 = f"""tok as (select chunk_id, {_tokens('text')} ts from index_v),
+_BM25 = f"""tok as (select chunk_id, {_tokens('text')} ts from chunks_v),
 len_ as (select chunk_id, len(ts) len from tok), corpus as (select count(*) n, coalesce(nullif(avg(len), 0), 1.0) avg_len from len_),
 post as (select term, chunk_id, count(*) tf from (select chunk_id, unnest(ts) term from tok) group by 1, 2),
 terms as (select term, count(*) df, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) idf from post, corpus group by term, n)"""
@@ -52,19 +52,30 @@ sparse as (select qid, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 *
   from ask join terms using (term) join post using (term) join len_ using (chunk_id), corpus group by 1, 2)"""
 
 
+_ALL_SPARSE = _SPARSE
+_SPARSE = _SPARSE.replace("chunks_v", "index_v")  # hybrid search: of the chunks that have a vector
+
+
+def _all_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, sparse.BM25Index]:
+    """Questions, all documents as chunks, and their index."""
+    chunks = view(spark, sf_dir, "chunks_v")
+    return view(spark, sf_dir, "asked_v"), chunks, sparse.bm25_index(chunks)
+
+
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, sparse.BM25Index]:
+    """Questions, the chunks that have a vector, and their index."""
     chunks = view(spark, sf_dir, "index_v")
     return view(spark, sf_dir, "asked_v"), chunks, sparse.bm25_index(chunks.select("chunk_id", "text"))
 
 
 @query(f"with {_BM25} select term, df, round(idf, 6) as idf from terms")
 def q5_2_bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)[2].terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _all_index(spark, sf_dir)[2].terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_BM25} select chunk_id, len_.len, count(term) as n_terms, coalesce(max(tf), 0) as max_tf from len_ left join post using (chunk_id) group by 1, 2")
 def q5_2_bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _index(spark, sf_dir)[2]
+    index = _all_index(spark, sf_dir)[2]
     rows = index.lengths.join(index.postings, "chunk_id", "left").groupBy("chunk_id", "len")
     return rows.agg(F.count("term").alias("n_terms"), F.coalesce(F.max("tf"), F.lit(0)).cast("long").alias("max_tf")).withColumn("len", F.col("len").cast("long"))
 
@@ -73,9 +84,9 @@ def _ranked(source: str, k: int) -> str:
     return f"(select *, row_number() over (partition by qid order by round(score, 9) desc, chunk_id) as rank from {source} qualify rank <= {k})"
 
 
-@query(f"with {_SPARSE} select qid, rank, chunk_id, round(score, 6) as score from {_ranked('sparse', 10)}")
+@query(f"with {_ALL_SPARSE} select qid, rank, chunk_id, round(score, 6) as score from {_ranked('sparse', 10)}")
 def q5_3_bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, _, index = _index(spark, sf_dir)
+    asked, _, index = _all_index(spark, sf_dir)
     return _place(fusion.top_k(sparse.bm25_scores(asked, index), 10)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -100,11 +111,11 @@ _QLANG = "case when regexp_matches(question, '[가-힣]') then 'ko' else 'en' en
 _FACTOR = f"(case when c.lang in ('ko', 'en') and c.lang <> {_QLANG} then 0.7 else 1.0 end)::double"
 
 
-@query(f"""with {_DENSE}, pen as (select qid, chunk_id, score * {_FACTOR} as score from dense join asked_v using (qid) join index_v c using (chunk_id))
+@query(f"""with {_DENSE}, pool as {_ranked('dense', 50)}, pen as (select qid, chunk_id, score * {_FACTOR} as score from pool join asked_v using (qid) join index_v c using (chunk_id))
 select qid, count(*) as n, round(sum(score), 6) as total from pen group by 1""")
 def q5_6_language_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks = view(spark, sf_dir, "asked_v"), view(spark, sf_dir, "index_v")
-    rows = fusion.language_penalty(dense.dense_scores(asked, chunks), asked, chunks)
+    rows = fusion.language_penalty(dense.dense_topk(asked, chunks, 50), asked, chunks)
     return rows.groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 6).alias("total"))
 
 
@@ -120,9 +131,10 @@ every as (select q.qid, c.chunk_id, coalesce(score, 0) score from asked_v q cros
 pool_d as {_ranked('dense', 50)}, pool_s as {_ranked('every', 50)}"""
 
 
-@query(f"with {_POOLS} select qid, rank, chunk_id, round(score, 6) as score from pool_s")
+@query(f"""with {_ALL_SPARSE}, every as (select q.qid, c.chunk_id, coalesce(score, 0) score from asked_v q cross join chunks_v c left join sparse using (qid, chunk_id))
+select qid, rank, chunk_id, round(score, 6) as score from {_ranked('every', 50)}""")
 def q5_8_rank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, chunks, index = _index(spark, sf_dir)
+    asked, chunks, index = _all_index(spark, sf_dir)
     return _place(fusion.rank_pool(sparse.bm25_scores(asked, index), 50, asked, chunks)).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -175,15 +187,15 @@ def q5_13_build_context_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_CONTEXT}, con as (select qid, count(distinct case when date <> '미상' then date end) >= 2 as conflict from hits_v group by 1),
-hist as (select conv_id qid, string_agg(text, ' / ' order by turn) history from conversations where conv_id % 2 = 0 and turn < 2 group by 1)
+hist as (select conv_id qid, string_agg(text, ' / ' order by turn) history from conversations group by 1 having max(turn) >= 3)
 select q.qid, md5(case when history is null then concat('R:', case when conflict then 'newest first' else '' end, {NL}, context, {NL}, 'Q:', question)
   else concat('H:', history, {NL}, 'R:', case when conflict then 'newest first' else '' end, {NL}, context, {NL}, 'Q:', question) end) as digest
 from questions_v q left join ctx using (qid) left join con using (qid) left join hist using (qid)""")
 def q5_14_build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, questions = view(spark, sf_dir, "hits_v"), view(spark, sf_dir, "questions_v")
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id % 2 = 0 and turn < 2")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " / ")
-    history = rows.groupBy(F.col("conv_id").alias("qid")).agg(said.alias("history"))
+    history = rows.groupBy(F.col("conv_id").alias("qid")).agg(said.alias("history"), F.max("turn").alias("last")).where("last >= 3").drop("last")
     plain = "R:{rules}\n{context}\nQ:{question}"
     prompts = cx.build_prompt(questions, cx.build_context(hits), cx.date_conflicts(hits), plain, "newest first", history, "H:{history}\n" + plain)
     return prompts.select("qid", F.md5("prompt").alias("digest"))
@@ -273,13 +285,13 @@ def q7_4_prior_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", dialog.prior_question(ctx).alias("prior"))
 
 
-@query(f"""with {_HISTORY}, r as (select *, {_RAW} raw from hist), rw as (select conv_id * 100 + turn as qid, {_REWRITE} as question from r where turn < 100),
+@query(f"""with {_HISTORY}, r as (select *, {_RAW} raw from hist), rw as (select concat(conv_id, ':', turn) as qid, {_REWRITE} as question from r),
 asked_t as (select qid, question from rw), {_BM25}, ask as (select qid, unnest(list_distinct({_tokens('question')})) term from asked_t),
 sparse as (select qid, chunk_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len))) score
   from ask join terms using (term) join post using (term) join len_ using (chunk_id), corpus group by 1, 2)
 select qid, rank, chunk_id, round(score, 6) as score from {_ranked('sparse', 5)}""")
 def q7_5_multi_turn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = view(spark, sf_dir, "turns_v").where("turn < 100")
-    asked = dialog.multi_turn_queries(turns, _rewrites(turns)).select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.col("query").alias("question"))
-    index = sparse.bm25_index(view(spark, sf_dir, "index_v").select("chunk_id", "text"))
+    turns = view(spark, sf_dir, "turns_v")
+    asked = dialog.multi_turn_queries(turns, _rewrites(turns)).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.col("query").alias("question"))
+    index = _all_index(spark, sf_dir)[2]
     return _place(fusion.top_k(sparse.bm25_scores(asked, index), 5)).withColumn("rank", F.col("rank").cast("long"))
