@@ -6,7 +6,9 @@ sums (first within super-blocks, then over them, so that one huge file is no sin
 documents that cross blocks.
 
 Cases: an empty document is a separator alone (0 tokens); ids after the last separator of a file are returned
-as one document with terminated = false; an empty file or table gives no rows.
+as one document with terminated = false; an empty file or table gives no rows; a null text counts as an empty one;
+repeated rows are counted one by one; a text of any length is tokenised whole and its ids are cut into blocks; special tokens
+that a text spells out are plain text here, so that only the separator separates; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -101,6 +102,30 @@ def test_sentencepiece_codec(spark):
     assert sp_codec.encode_documents(table(spark, EMPTY)).count() == 0
 
 
+def test_long_words_are_encoded_as_the_library_does():
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdeinorst", k=n)) for n in (49, 300, 5000)] + ["".join(rng.choices("的一是不了人我在有他é😀", k=3000)), "a" * 3000, "".join(rng.choices(["ing", "the", "ation", "Q", "9"], k=900))]
+    codec = sp_codec.encoder("piece_bpe_32k.model")
+    for w in words:
+        assert np.frombuffer(codec.encode([w])[0], "<u4").tolist() == sp.encode(w)
+    start = time.time()
+    long = "".join(rng.choices("abcdeinorst的一", k=1_000_000))
+    assert codec.model.decode(np.frombuffer(codec.encode([long])[0], "<u4")) == long and time.time() - start < 120
+    unigram = sp_codec.PieceModel(unigram=True)
+    total = lambda raw: sum(unigram.score[k] for k in np.frombuffer(raw, "<u4").tolist())
+    for w in words[:2]:
+        assert abs(total(unigram.encode_long(w)) - total(unigram.encode_words([w])[0])) < 1e-6
+
+
+def test_a_long_text_of_one_word_is_judged_in_bounded_memory():
+    got = quality.measure(["same " * 1_000_000])[0]
+    assert got[0] == got[4] == 1_000_000 and got[5] == 999_999
+
+
 def test_unigram_viterbi_finds_the_best_sum():
     model = sp_codec.PieceModel(unigram=True)
     score = {p: model.score[k] for _, ks, _ in model.keys.values() for k in ks.tolist() for p in [model.table[k].decode().replace(" ", "▁")]}

@@ -73,6 +73,12 @@ def test_run_is_its_stages(spark, folder):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in docs.collect()) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, folder).collect())
 
 
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_repeated_rows_stay_one_row(spark):
     rows = [(i, t) for i, t in corpus(4, 12) if t and len(t) > 60][:12]
     tail = " and then some more words that no other text of this table has in it at all"
