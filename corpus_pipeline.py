@@ -3,6 +3,12 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all that its predecessor kept,
 and returns a DataFrame with the columns of documents (the last: one row for each packed piece). run() writes each
 stage's result to the shared folder and reads it again as the next one's docs.
+
+Cases: null texts count as empty ones and go in the first stage, as do all texts of fewer than 20 words; rows without a
+doc_id go in the third; of rows that repeat a doc_id and a text one stays there, and of rows that repeat a doc_id with
+different texts each is judged by itself, so that a doc_id may stay twice; ties go to the smaller doc_id; lang, source and
+n_chars may be null, and are taken along; long texts are taken whole by every stage; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
