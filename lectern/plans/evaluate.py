@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 from lectern.operators import chunks as ck
-from lectern.operators import judging, metrics
+from lectern.operators import ask, dialog, judging, metrics
 from lectern.plans.fixtures import view, with_views
 from lectern.plans.prepare import NL
+from lectern.plans.retrieve import _CITED, _CONTEXT, _FACTOR, _HISTORY, _RAW, _REWRITE, _index, _ranked, _rewrites, _rrf
 from lectern.sources import infer, io
-from lectern.sources.staging import shared_dir
+from lectern.sources.staging import shared_dir, stage_table, with_dense_id
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,6 +93,22 @@ def q6_3_retrieval_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(metrics.retrieval_report(_config_hits(spark, sf_dir), view(spark, sf_dir, "gold_v"), _coverage(spark, sf_dir)))
 
 
+_SEARCHED = f"""{_rrf(_FACTOR)}, plain as {_ranked('dense', 10)},
+hits_s as (select 'base' as config, qid, rank, doc, page from plain join index_v using (chunk_id)
+  union all select 'best', qid, rank, doc, page from best join index_v using (chunk_id) where rank <= 10)"""
+_REPORT_S = _rel(f"with {_SEARCHED}, {_COVER}, {_metric(5, 'hits_s', 'config')}, {_metric(10, 'hits_s', 'config')}")
+
+
+@query(f"""{_REPORT_S} select config, coverage, count(*) as n, {_MEANS} from pm5 p5 join pm10 p10 using (config, qid) join cover using (qid)
+group by grouping sets ((config), (config, coverage))""")
+def q6_3_report_of_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two configurations searched, cut at 5 and 10, and reported: from questions to means."""
+    asked, chunks, index = _index(spark, sf_dir)
+    configs = [ask.Config("base", "all", k=10), ask.Config("best", "all", hybrid=True, meta=True, k=10)]
+    hits = ask.search_configs(asked, configs, {"all": ask.Index(chunks, index)})
+    return _six(metrics.retrieval_report(hits.select("config", "qid", "rank", "doc", "page"), view(spark, sf_dir, "gold_v"), _coverage(spark, sf_dir)))
+
+
 @query(f"with {_CONFIG_HITS} select config, qid, string_agg(concat(doc, '#', page), ',' order by rank) as pages from hits_c where rank <= 10 group by 1, 2")
 def q6_3_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_pages(_config_hits(spark, sf_dir)).withColumn("pages", F.array_join("pages", ","))
@@ -192,6 +210,63 @@ def q6_10_merge_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judging.merge_keys(key, later)
 
 
+@query(f"""with {_RECORDS}, two as (select config, no, case when starts_with(config, 'best') then 'B' else 'A' end pack from gen),
+n as (select *, row_number() over (partition by pack order by md5(concat('0|', config, '|', no)), config, no) - 1 n from two)
+select concat(pack, lpad(n::varchar, greatest(3, length(n::varchar))::int, '0')) as id, config, no from n""")
+def q6_10_second_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Later configurations packed by themselves, under their own prefix; one key for both packs."""
+    records, later = _records(spark, sf_dir), F.startswith("config", F.lit("best"))
+    packs = [judging.pack_blind(records.where(which), prefix) for which, prefix in ((~later, "A"), (later, "B"))]
+    return judging.merge_keys(*(judging.judge_key(p) for p in packs))
+
+
+_ASKED_T = f"""{_HISTORY}, r as (select *, {_RAW} raw from hist),
+rw as (select concat(conv_id, ':', turn) as qid, conv_id, r.question as said, history, {_REWRITE} as query, embedding
+  from r join embeddings on vec_id = (conv_id * 7 + turn) % (select max(vec_id) + 1 from embeddings)),
+asked_t as (select qid, query as question, embedding from rw)"""
+_ANSWERED = f"""{_ASKED_T}, {_rrf(_FACTOR).replace('asked_v', 'asked_t')},
+found as (select qid, rank, doc, page, least(score / (2.0 / 61.0), 1.0) as score, text, date from best join index_v using (chunk_id) where rank <= 5),
+{_CONTEXT.replace('hits_v', 'found')}, con as (select qid, count(distinct case when date <> '미상' then date end) >= 2 as conflict from found group by 1),
+told as (select qid, case when history <> '(없음)' then concat('H:', history, {NL}) else '' end h, said, case when conflict then 'newest first' else '' end rules, coalesce(context, '') context
+  from rw left join ctx using (qid) left join con using (qid)),
+said_ as (select concat('best|', qid) as aid, concat('best|', qid) as qid, concat('See [1] and [3, 2]. ', md5(concat(h, 'R:', rules, {NL}, context, {NL}, 'Q:', said))) as answer from told
+  union all select concat('norag|', qid), concat('norag|', qid), concat('See [1] and [3, 2]. ', md5(concat('H:', case when h = '' then '' else h[3:-2] end, {NL}, 'Q:', said))) from told),
+found_ as (select * replace (concat('best|', qid) as qid) from found), {_CITED.replace('answers_v', 'said_').replace('hits_v', 'found_')}"""
+
+
+@query(f"""with {_ANSWERED}, ret as (select qid, string_agg(concat(rank, ':', doc, ':', page, ':', date), ',' order by rank) retrieved from found_ group by 1),
+ct as (select aid, string_agg(concat(doc, ':', page), ',' order by ord) cited from cites group by 1)
+select string_split(s.aid, '|')[1] as config, rw.qid as no, conv_id, said as question, case when history <> '(없음)' then history end as history, query, answer, retrieved, cited
+from said_ s join rw on rw.qid = string_split(s.aid, '|')[2] left join ret on ret.qid = s.aid left join ct using (aid)""")
+def q7_6_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn from its history to the record of its answer: rewrite, search, context, prompt, answer, citations. The
+    model answers with three citations and the digest of its prompt."""
+    turns = view(spark, sf_dir, "turns_v")
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    size = F.broadcast(vectors.agg((F.max("vec_id") + 1).alias("n")))  # one row
+    asked = dialog.multi_turn_queries(turns, _rewrites(turns)).join(size, how="cross").withColumn("vec_id", (F.col("conv_id") * 7 + F.col("turn")) % F.col("n"))
+    asked = asked.join(vectors, "vec_id").select(
+        "conv_id", "turn", F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("category"), "question",
+        F.when(F.col("history") != dialog.NO_HISTORY, F.col("history")).alias("history"), "query", "embedding",
+    )
+    asked = stage_table(with_dense_id(asked, ["conv_id", "turn"], "qid"), "asked")
+    _, chunks, index = _index(spark, sf_dir)
+    configs = [ask.Config("best", "all", hybrid=True, meta=True, k=5), ask.Config("norag")]
+    hits = ask.search_configs(asked.select("qid", F.col("query").alias("question"), "embedding"), configs, {"all": ask.Index(chunks, index)})
+    plain = "R:{rules}\n{context}\nQ:{question}"
+    templates = ask.Templates(plain, "H:{history}\n" + plain, "H:{history}\nQ:{question}", "newest first")
+    records, _ = ask.answer(asked, hits, configs, templates, _cite_and_digest, batch=64)
+    said = lambda *parts: F.concat_ws(":", *(p.cast("string") for p in parts))
+    retrieved = F.array_join(F.transform("retrieved", lambda h: said(h["rank"], h["doc"], h["page"], h["date"])), ",")
+    cited = F.array_join(F.transform("cited", lambda c: said(c["doc"], c["page"])), ",")
+    conv = F.split("category", ":")[0].cast("long").alias("conv_id")
+    return records.select("config", F.col("category").alias("no"), conv, "question", "history", "query", "answer", retrieved.alias("retrieved"), cited.alias("cited"))
+
+
+def _cite_and_digest(rows):
+    return [f"See [1] and [3, 2]. {hashlib.md5(p.encode()).hexdigest()}" for p in rows["prompt"]]
+
+
 def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lectern.operators import docmeta
 from lectern.operators import pages as pg
 from lectern.plans.fixtures import view, with_views
 from lectern.sources.io import read_documents  # noqa: F401
+from lectern.sources.staging import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -122,6 +125,28 @@ def q1_07_pending_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.pending_reads(pages, cached)
 
 
+_SECOND = _RESOLVED.replace("doc_id % 4 in (1, 2)", "doc_id % 5 <> 1")
+
+
+@query(f"{_SECOND} select doc, page, case how when 'vlm' then 'cached' else 'asked again' end as state from resolved where how in ('vlm', 'fallback')")
+def q1_07_resumed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose model fails for a fifth of the pages; its readings are appended to the cache, and a second run asks
+    for the others only."""
+    pages, cached, _ = _reads(spark, sf_dir)
+    path = f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    cached.write.parquet(path)
+
+    def model(rows):
+        if (rows["doc_id"] % 5 == 1).any():
+            raise ValueError("no answer")
+        return [f"{t}\n" * 3 if n % 8 == 1 else t for n, t in zip(rows["doc_id"], rows["block_text"], strict=True)]
+
+    found = pg.read_run(pages, cached, pages, model, ["doc_id", "block_text"], batch=1, retries=2)[1]
+    found.write.mode("append").parquet(path)
+    again = pg.pending_reads(pages, spark.read.parquet(path)).withColumn("state", F.lit("asked again"))
+    return spark.read.parquet(path).join(cached.select("doc", "page"), ["doc", "page"], "left_anti").select("doc", "page", F.lit("cached").alias("state")).unionByName(again)
+
+
 @query("""select doc, page from pages_v where doc_id % 4 = 0 and doc_id % 3 <> 0 and doc <> 'src1'""")
 def q1_07_pending_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = view(spark, sf_dir, "pages_v")
