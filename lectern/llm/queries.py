@@ -89,21 +89,23 @@ select conv_id, n_turns, sha256(said) turns_sha256, length(lost) loss_chars, sha
 
 
 _NL, _DOCS = "chr(10)", "docs as (select doc_id, coalesce(text, '') t from documents where doc_id is not null)"
-_CUT = "t"
-for _mark in ".!?,;:":
-    _CUT = f"replace({_CUT}, '{_mark} ', concat('{_mark}', {_NL}))"
+_CUT, _BREAK = "t", "chr(57344)"  # a private character, which the tables do not hold
+for _end in [_NL, *(f"'{mark} '" for mark in sentence_spans.MARKS), *(f"'{mark}'" for mark in sentence_spans.WIDE_MARKS)]:
+    _CUT = f"replace({_CUT}, {_end}, concat({_end}, {_BREAK}))"
 OP4_SQL = f"""
 with {_DOCS},
-split as (select doc_id, t, string_split({_CUT}, {_NL}) ps from docs),
-parts as (select doc_id, t, unnest(ps) part, generate_subscripts(ps, 1) k from split),
-placed as (select *, trim(part, concat(' ', chr(9), chr(13))) sent, coalesce(sum(length(part) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) start from parts),
-sents as (select doc_id, k, sent, row_number() over (partition by doc_id order by k) pos, length(sent) - length(replace(sent, ' ', '')) + 1 n from placed where sent <> ''),
+split as (select doc_id, string_split({_CUT}, {_BREAK}) ps from docs),
+parts as (select doc_id, unnest(ps) part, generate_subscripts(ps, 1) k from split),
+placed as (select *, trim(part, concat(' ', chr(9), chr(10), chr(13))) sent from parts),
+sents as (select doc_id, k, sent, row_number() over w pos, lead(sent) over w is null or not regexp_matches(sent, '[,;:，；：、]$') is_end,
+  length(sent) - length(replace(sent, ' ', '')) + 1 + length(regexp_replace(sent, '[^぀-ヿ㐀-鿿]', '', 'g')) // 2 n from placed where sent <> '' window w as (partition by doc_id order by k)),
 runs as (select doc_id, pos, concat(sent, {_NL}, lead(sent) over w, {_NL}, lead(sent, 2) over w) run, n + lead(n) over w + lead(n, 2) over w n from sents window w as (partition by doc_id order by pos)),
 later as (select doc_id, pos from (select *, row_number() over (partition by run order by doc_id, pos) rn from runs where n >= 8) where rn > 1),
 gone as (select distinct doc_id, pos + j as pos from later, (values (0), (1), (2)) v(j)),
-marked as (select p.doc_id, p.k, substring(t, (start + 1)::bigint, length(part) + 1) seg, s.pos is not null is_sent, g.pos is not null cut
+marked as (select p.doc_id, p.k, part, s.pos is not null is_unit, is_end, g.pos is not null cut
   from placed p left join sents s using (doc_id, k) left join gone g on g.doc_id = p.doc_id and g.pos = s.pos)
-select doc_id, count(*) filter (is_sent) as n_sentences, count(*) filter (cut) as n_removed, sha256(coalesce(string_agg(seg, '' order by k) filter (not cut), '')) as kept_sha256
+select doc_id, count(*) filter (is_end) as n_sentences, count(*) filter (is_unit) as n_clauses, count(*) filter (cut) as n_removed,
+  sha256(coalesce(string_agg(part, '' order by k) filter (not cut), '')) as kept_sha256
 from marked group by doc_id
 """
 _WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import time
 import zlib
 
@@ -153,11 +154,34 @@ def test_exact_top_k(spark):
     assert topk.exact_top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def span_brute_force(rows, span=3, min_words=8):
+    """Spans over units found by a regular expression, in plain dictionaries."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows, key=lambda r: r[0]):
+        parts = re.findall(r"(?s).*?(?:\n|[.!?,;:] |[。！？，；：、])|.+\Z", text or "")
+        at = [k for k, p in enumerate(parts) if p.strip(" \t\r\n")]
+        found = [parts[k].strip(" \t\r\n") for k in at]
+        words = [s.count(" ") + 1 + sum("\u3040" <= c <= "\u30ff" or "\u3400" <= c <= "\u9fff" for c in s) // 2 for s in found]
+        gone = set()
+        for k in range(len(found) - span + 1):
+            run = tuple(found[k : k + span])
+            if sum(words[k : k + span]) >= min_words:
+                gone |= set(at[k : k + span]) if run in seen else set()
+                seen.add(run)
+        kept = "".join(p for k, p in enumerate(parts) if k not in gone)
+        ends = sum(s[-1] not in ",;:，；：、" for s in found[:-1]) + (len(found) > 0)
+        out[doc_id] = (ends, len(found), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    return out
+
+
 def test_sentence_spans(spark):
     rows = corpus()
+    wide = "今日は天気がいいですね。明日も晴れるでしょう、たぶん。散歩に行きませんか？"
+    rows += [(9001, wide), (9002, "別の文。" + wide + "終わり、"), (9003, "a, b; c: d. e! f? g"), (9004, ("One two three. Four five, six seven. " * 20000))]
     got = {r["doc_id"]: tuple(r)[1:] for r in sentence_spans.digest(sentence_spans.span_dedup(table(spark, rows))).collect()}
-    assert got == sentence_spans.brute_force(rows) and any(v[1] for v in got.values())
-    assert got[0][1] == 0 and sentence_spans.span_dedup(table(spark, EMPTY)).count() == 0
+    assert got == span_brute_force(rows) and any(v[2] for v in got.values())
+    assert got[9001][:3] == (3, 4, 0) and got[9002][:3] == (5, 6, 4) and got[9003][:3] == (4, 7, 0)
+    assert got[0][2] == 0 and sentence_spans.span_dedup(table(spark, EMPTY)).count() == 0
     twice = sentence_spans.digest(sentence_spans.span_dedup(table(spark, rows[:3] * 2))).collect()
     assert len(twice) == 6 and len(set(map(tuple, twice))) == 3
 
