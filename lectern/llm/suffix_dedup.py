@@ -43,6 +43,7 @@ BATCH_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 MOST = 64  # strings in a piece: one mask
 HOT = 20_000  # different pieces of one minimizer, above which its strings are dealt out by themselves
+TASKS = 20_000  # buckets share tasks beyond this number
 BATCHES = "batch long, size long, ids binary, lens binary, data binary, more binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
@@ -310,8 +311,14 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False, carri
     batches = packed(texts(docs, *carried), carried)
     total = batches.agg(F.sum("size")).first()[0] or 0
     buckets = max(24, -(-total // BUCKET_BYTES))
+    tasks = -(-buckets // -(-buckets // TASKS))
     squeeze, level, most_kinds = zstandard.ZstdCompressor, 3, HOT
 
+    def dealt_out(rows):
+        """Rows by bucket; each task takes equally many buckets, where a hash of their numbers would leave it to chance."""
+        rows = rows.withColumn("task", (F.col("bucket") % tasks).cast("int"))
+        return rows.repartitionById(tasks, F.col("task")).groupBy("task", "bucket")
+
     def send_keys(parts):
         for pdf in parts:
             for r in pdf.itertuples():
@@ -342,7 +349,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False, carri
         return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "bits": bits, "hot": hots})
 
     sent = batches.select("batch", "ids", "lens", "data").mapInPandas(send_keys, "bucket long, batch long, keys binary, twice binary, kinds binary")
-    answers = sent.groupBy("bucket").applyInPandas(answer_keys, "batch long, bucket long, bits binary, hot binary")
+    answers = dealt_out(sent).applyInPandas(answer_keys, "batch long, bucket long, bits binary, hot binary")
     shared = stage_table(answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("bits")), "shared")
     known = batches.join(shared, "batch", "left").select("batch", "ids", "lens", "data", "more", "bits")
 
@@ -407,7 +414,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, as_text: bool = False, carri
         return pd.DataFrame({"batch": pdf["batch"], "bucket": pdf["bucket"], "masks": [small.compress(x.tobytes()) for x in np.split(out, np.cumsum(sizes)[:-1])]})
 
     pieces = known.mapInPandas(send_pieces, "bucket long, batch long, data binary, lens binary, tags binary, docs binary")
-    answers = pieces.groupBy("bucket").applyInPandas(answer_pieces, "batch long, bucket long, masks binary")
+    answers = dealt_out(pieces).applyInPandas(answer_pieces, "batch long, bucket long, masks binary")
     answers = stage_table(answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "masks")).alias("masks")), "masks")
 
     def cut(parts):
