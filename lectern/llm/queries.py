@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chat, lsh_forest, packing, quality, sentence_spans, sp_codec, suffix_dedup, token_counts, topk, toxicity
+from lectern.llm import byte_pairs, chat, lsh_forest, packing, prefix_trie, quality, sentence_spans, sp_codec, structure_repair, suffix_dedup, token_counts, topk, toxicity
 from lectern.llm.common import table
 
 
@@ -63,6 +63,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_pair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_pairs.codec_digest(byte_pairs.decode_documents(byte_pairs.encode_documents(docs)))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefix_trie.rebuilt_conversations(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(rebuilt).drop("turn_id")
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return structure_repair.repair_report(structure_repair.damaged(rows), rows)
+
+
 OP3_SQL = """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
@@ -162,6 +177,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_toxicity": op9_toxicity,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_byte_pair_codec": op11_byte_pair_codec,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_structure_repair": op13_structure_repair,
     }
 
 
