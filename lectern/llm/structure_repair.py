@@ -158,7 +158,7 @@ def audits(rows: DataFrame, ids: DataFrame) -> DataFrame:
     kind = F.when(F.col("blank"), "b").when(F.col("again"), "d").otherwise(F.when(F.col("cut"), "t").otherwise("k"))
     said = said.select("conv_id", F.lit(1).alias("part"), "turn", "role", "digest", kind.alias("fault"), F.substring("role", 1, 1).alias("initial"))
     every = ids.select(F.col("conv_id").cast("long").alias("conv_id")).unionByName(rows.select(F.col("conv_id").cast("long").alias("conv_id")))
-    every = every.where("conv_id is not null").distinct()
+    every = every.where("conv_id is not null")  # with repeats, which the stream passes over
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("turn", "long"), ("role", "string"), ("digest", "string"), ("fault", "string"), ("initial", "string"))]
     stream = said.unionByName(every.select("conv_id", F.lit(0).alias("part"), *nothing))
     stream = stream.withColumns({"at": F.coalesce("turn", F.lit(0)), "placed": F.col("turn").isNotNull()})
@@ -171,6 +171,8 @@ def audits(rows: DataFrame, ids: DataFrame) -> DataFrame:
                 if part:
                     now.add(turn if placed else None, fault, initial)
                     continue
+                if now and now.conv == conv:
+                    continue
                 if now:
                     out.append(now.report())
                 now = _Faults(conv)
