@@ -91,11 +91,19 @@ def first_line(text: Column) -> Column:
     return strip(F.btrim(strip(F.coalesce(F.get(lines, F.lit(0)), F.lit(""))), F.lit("#* ")))
 
 
+#: a token is looked at ahead, then its run of ASCII or one syllable is passed over; the last syllable of a run is no token
+_HANGUL = "[가-힣]"
+TOKENS = f"(?=([a-z0-9]+|{_HANGUL}{{2}}|(?<!{_HANGUL}){_HANGUL}))(?:[a-z0-9]+|{_HANGUL})"
+
+
 def tokenize(text: Column) -> Column:
-    """ASCII words, and Hangul runs as overlapping pairs, in order and with repeats."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+|[가-힣]+)"), F.lit(1))
-    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[가-힣]{2}"), pairs(r)).otherwise(F.array(r))))
+    """ASCII words, and Hangul runs as overlapping pairs, in order and with repeats, in one pass."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKENS), F.lit(1))
+
+
+def token_count(text: Column) -> Column:
+    """How many tokens tokenize gives."""
+    return F.regexp_count(F.lower(text), F.lit(TOKENS))
 
 
 def _in_year(month: Column, day: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lectern.operators import context as cx
 from lectern.operators import dense, dialog, fusion, sparse
 from lectern.plans.fixtures import view, with_views
 from lectern.plans.prepare import NL, strip
+from lectern.sources.staging import shared_dir
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,21 +59,27 @@ _ALL_SPARSE = _SPARSE
 _SPARSE = _SPARSE.replace("chunks_v", "index_v")  # hybrid search: of the chunks that have a vector
 
 
+def _named(spark: SparkSession, sf_dir: str, name: str, chunks: DataFrame) -> sparse.BM25Index:
+    """This application's index of the given tables: the first query that needs it builds it, later ones read it."""
+    place = f"{shared_dir(spark)}/bm25-{spark.sparkContext.applicationId}-{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    return sparse.named_bm25(chunks.select("chunk_id", "text"), place, name)
+
+
 def _all_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, sparse.BM25Index]:
     """Questions, all documents as chunks, and their index."""
     chunks = view(spark, sf_dir, "chunks_v")
-    return view(spark, sf_dir, "asked_v"), chunks, sparse.bm25_index(chunks)
+    return view(spark, sf_dir, "asked_v"), chunks, _named(spark, sf_dir, "all", chunks)
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, sparse.BM25Index]:
     """Questions, the chunks that have a vector, and their index."""
     chunks = view(spark, sf_dir, "index_v")
-    return view(spark, sf_dir, "asked_v"), chunks, sparse.bm25_index(chunks.select("chunk_id", "text"))
+    return view(spark, sf_dir, "asked_v"), chunks, _named(spark, sf_dir, "with_vectors", chunks)
 
 
 @query(f"with {_BM25} select term, df, round(idf, 6) as idf from terms")
 def q5_2_bm25_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_index(spark, sf_dir)[2].terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return sparse.bm25_index(view(spark, sf_dir, "chunks_v")).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"with {_BM25} select chunk_id, len_.len, count(term) as n_terms, coalesce(max(tf), 0) as max_tf from len_ left join post using (chunk_id) group by 1, 2")
@@ -87,7 +96,14 @@ def _ranked(source: str, k: int) -> str:
 @query(f"with {_ALL_SPARSE} select qid, rank, chunk_id, round(score, 6) as score from {_ranked('sparse', 10)}")
 def q5_3_bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, _, index = _all_index(spark, sf_dir)
-    return _place(fusion.top_k(sparse.bm25_scores(asked, index), 10)).withColumn("rank", F.col("rank").cast("long"))
+    return _place(fusion.top_k(sparse.bm25_topk(asked, index, 10), 10)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"with {_ALL_SPARSE} select qid, count(*) as n, round(sum(score), 5) as total from sparse group by 1")
+def q5_3_bm25_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score, not only the best."""
+    asked, _, index = _all_index(spark, sf_dir)
+    return sparse.bm25_scores(asked, index).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total"))
 
 
 @query("""with n as (select vec_id, embedding::double[] v from embeddings), m as (select *, sqrt(list_inner_product(v, v)) l from n)
@@ -135,7 +151,7 @@ pool_d as {_ranked('dense', 50)}, pool_s as {_ranked('every', 50)}"""
 select qid, rank, chunk_id, round(score, 6) as score from {_ranked('every', 50)}""")
 def q5_8_rank_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks, index = _all_index(spark, sf_dir)
-    return _place(fusion.rank_pool(sparse.bm25_scores(asked, index), 50, asked, chunks)).withColumn("rank", F.col("rank").cast("long"))
+    return _place(fusion.rank_pool(sparse.bm25_topk(asked, index, 50), 50, asked, chunks)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _rrf(factor: str = "1.0") -> str:
@@ -148,7 +164,7 @@ best as (select *, row_number() over (partition by qid order by round(score, 12)
 @query(f"with {_rrf()} select qid, chunk_id, round(score, 6) as score from weighed")
 def q5_9_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks, index = _index(spark, sf_dir)
-    legs = [fusion.top_k(dense.dense_topk(asked, chunks, 50), 50), fusion.rank_pool(sparse.bm25_scores(asked, index), 50, asked, chunks)]
+    legs = [fusion.top_k(dense.dense_topk(asked, chunks, 50), 50), fusion.rank_pool(sparse.bm25_topk(asked, index, 50), 50, asked, chunks)]
     return _place(fusion.rrf(legs)).select("qid", "chunk_id", "score")
 
 
@@ -294,4 +310,4 @@ def q7_5_multi_turn_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = view(spark, sf_dir, "turns_v")
     asked = dialog.multi_turn_queries(turns, _rewrites(turns)).select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"), F.col("query").alias("question"))
     index = _all_index(spark, sf_dir)[2]
-    return _place(fusion.top_k(sparse.bm25_scores(asked, index), 5)).withColumn("rank", F.col("rank").cast("long"))
+    return _place(fusion.top_k(sparse.bm25_topk(asked, index, 5), 5)).withColumn("rank", F.col("rank").cast("long"))
