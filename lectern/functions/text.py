@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 #: all Unicode white space, as a character class and as characters
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+INK = WS.replace("[", "[^", 1)  # any character but white space
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+#: fixed values: what stands for an unknown date, and what a title reading says where there is none
 UNKNOWN_DATE = "미상"
 NO_TITLE = "없음"
 
@@ -30,13 +32,16 @@ def squash(c: Column) -> Column:
     return F.regexp_replace(c, WS, "")
 
 
+def has_line(text: Column, chars: int) -> Column:
+    """Whether a line that is not blank has so many characters."""
+    return text.rlike(rf"(?:\A|\n)(?=[^\n]{{{chars}}})(?:(?!\n){WS})*+{INK}")
+
+
 def needs_reread(text: Column, tables: Column | None = None, low_text: int = 200, max_line: int = 20, tab_rows: int = 4, tab_cols: int = 3) -> Column:
     """Whether extracted page text is too poor: too little, only short lines, or a table. Null text is empty; null
     tables are none."""
     body = strip(F.coalesce(text, F.lit("")))
-    lines = F.filter(F.split(body, "\n"), lambda x: strip(x) != "")
-    longest = F.coalesce(F.array_max(F.transform(lines, F.length)), F.lit(0))
-    poor = (F.length(body) < low_text) | (longest < max_line)
+    poor = (F.length(body) < low_text) | ~has_line(body, max_line)
     if tables is None:
         return poor
     return poor | F.coalesce(F.exists(tables, lambda t: (t["rows"] >= tab_rows) & (t["cols"] >= tab_cols)), F.lit(False))
@@ -57,24 +62,18 @@ def table_shapes(text: Column) -> Column:
             F.when(piped, F.greatest(a["cols"], cells(line))).otherwise(0).alias("cols"),
         )
 
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), "\n"), start, step, closed)
-
+    return F.when(F.contains(text, F.lit("|")), F.aggregate(F.split(text, "\n"), start, step, closed)).otherwise(F.array().cast(shape))
 
-def html_table_shapes(html: Column) -> Column:
-    """array<struct<rows, cols>> of the tables in a web page."""
-    rows = lambda t: F.regexp_extract_all(t, F.lit(r"(?is)(<tr\b.*?)(?=<tr\b|$)"), F.lit(1))
-    cols = lambda t: F.coalesce(F.array_max(F.transform(rows(t), lambda r: F.regexp_count(r, F.lit(r"(?i)<t[dh]\b")))), F.lit(0))
-    tables = F.regexp_extract_all(html, F.lit(r"(?is)(<table\b.*?</table>)"), F.lit(1))
-    return F.transform(tables, lambda t: F.struct(F.size(rows(t)).alias("rows"), cols(t).alias("cols")))
 
-
-def is_degenerate(text: Column, max_chars: int = 6000, max_line_len: int = 1500, unique_ratio: float = 0.5) -> Column:
-    """Whether a page reading ran away: too long, a line too long, or too many equal lines."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: F.length(x) > 10)
+def is_degenerate(text: Column, max_chars: int = 6000, max_line_len: int = 1500, unique_ratio: float = 0.5, short: int = 10) -> Column:
+    """Whether a page reading ran away: too long, a line too long, or too many equal lines. Lines are taken without white
+    space at their ends; those of `short` characters do not count."""
+    longer = lambda n: rf"{INK}[^\n]{{{n - 1},}}{INK}"  # noqa: E731 - a line of more than n characters, from ink to ink
+    lines = F.regexp_extract_all(text, F.lit(longer(short)), F.lit(0))
     return (
         F.when(F.length(text) > max_chars, True)
         .when(F.size(lines) == 0, False)
-        .when(F.array_max(F.transform(lines, F.length)) > max_line_len, True)
+        .when(text.rlike(longer(max_line_len)), True)
         .otherwise(F.size(F.array_distinct(lines)) / F.size(lines) < unique_ratio)
     )
 
@@ -106,6 +105,16 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(F.lower(text), F.lit(TOKENS))
 
 
+#: fixed values: how dates are written in names (eight digits, six, six with dots, a year), in texts and in files' metadata
+NAME_8 = r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)"
+NAME_6 = rf"(?:^|[_\-(]|{WS})(\d{{2}})(\d{{2}})(\d{{2}})(?:$|[_\-).]|{WS})"
+NAME_DOTS = r"(?<!\d)(\d{2})\.(\d{2})\.(\d{2})(?!\d)"
+NAME_YEAR = rf"(20\d{{2}}){WS}*년"
+TEXT_DAY = rf"(20\d{{2}}){WS}*[.\-년]{WS}*(\d{{1,2}}){WS}*[.\-월]{WS}*(\d{{1,2}})"
+TEXT_MONTH = rf"(20\d{{2}}){WS}*[.\-년]{WS}*(\d{{1,2}}){WS}*[.월]"
+FILE_DAY = r"^D:(\d{4})(\d{2})(\d{2})"
+
+
 def _in_year(month: Column, day: Column) -> Column:
     return month.cast("int").between(1, 12) & day.cast("int").between(1, 31)
 
@@ -117,10 +126,10 @@ def _groups(c: Column, pattern: str, n: int) -> list[Column]:
 
 def date_from_name(name: Column) -> Column:
     """A date in a document's name, of whatever precision; null where there is none."""
-    y8, m8, d8 = _groups(name, r"(?<!\d)(20\d{2})(\d{2})(\d{2})(?!\d)", 3)
-    y6, m6, d6 = _groups(name, rf"(?:^|[_\-(]|{WS})(\d{{2}})(\d{{2}})(\d{{2}})(?:$|[_\-).]|{WS})", 3)
-    yd, md, dd = _groups(name, r"(?<!\d)(\d{2})\.(\d{2})\.(\d{2})(?!\d)", 3)
-    (year,) = _groups(name, rf"(20\d{{2}}){WS}*년", 1)
+    y8, m8, d8 = _groups(name, NAME_8, 3)
+    y6, m6, d6 = _groups(name, NAME_6, 3)
+    yd, md, dd = _groups(name, NAME_DOTS, 3)
+    (year,) = _groups(name, NAME_YEAR, 1)
     century = F.when(y6.cast("int") < 70, "20").otherwise("19")
     return F.coalesce(
         F.concat(y8, F.lit("-"), m8, F.lit("-"), d8),
@@ -134,8 +143,8 @@ def date_from_text(text: Column, head: int = 1200) -> Column:
     """A date printed near the start of the first page."""
     top = F.substring(text, 1, head)
     two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
-    y, m, d = _groups(top, rf"(20\d{{2}}){WS}*[.\-년]{WS}*(\d{{1,2}}){WS}*[.\-월]{WS}*(\d{{1,2}})", 3)
-    y2, m2 = _groups(top, rf"(20\d{{2}}){WS}*[.\-년]{WS}*(\d{{1,2}}){WS}*[.월]", 2)
+    y, m, d = _groups(top, TEXT_DAY, 3)
+    y2, m2 = _groups(top, TEXT_MONTH, 2)
     return F.coalesce(F.concat(y, F.lit("-"), two(m), F.lit("-"), two(d)), F.concat(y2, F.lit("-"), two(m2)))
 
 
@@ -143,7 +152,7 @@ def date_from_pdf(meta: Column) -> Column:
     """The date in a file's own metadata (a map)."""
     found = []
     for key in ("creationDate", "modDate"):
-        y, m, d = _groups(F.try_element_at(meta, F.lit(key)), r"^D:(\d{4})(\d{2})(\d{2})", 3)
+        y, m, d = _groups(F.try_element_at(meta, F.lit(key)), FILE_DAY, 3)
         found.append(F.concat(y, F.lit("-"), m, F.lit("-"), d))
     return F.coalesce(*found)
 

@@ -12,7 +12,8 @@ from lectern.functions import text as tx
 from lectern.operators import chunks as ck
 from lectern.operators import ask, dialog, judging, metrics
 from lectern.plans.fixtures import view, with_views
-from lectern.plans.prepare import NL
+from lectern.operators import pages as pg
+from lectern.plans.prepare import NL, _RESOLVED, _headings, _reads, _sql_blocks, _sql_fixed, norm, squash
 from lectern.plans.retrieve import _CITED, _CONTEXT, _FACTOR, _HISTORY, _RAW, _REWRITE, _index, _ranked, _rewrites, _rrf
 from lectern.sources import infer, io
 from lectern.sources.staging import shared_dir, stage_table, with_dense_id
@@ -109,6 +110,65 @@ def q6_3_report_of_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(metrics.retrieval_report(hits.select("config", "qid", "rank", "doc", "page"), view(spark, sf_dir, "gold_v"), _coverage(spark, sf_dir)))
 
 
+LETTERS = "etaoinsrldu"
+
+
+def _letters(text):
+    """A stand-in for a model's vector: the share of some letters, of unit length."""
+    counts = F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) + F.lit(0.25) for c in LETTERS))
+    return tx.l2_normalize(counts)
+
+
+def _sql_letters(text: str) -> str:
+    counts = ", ".join(f"(length({text}) - length(replace({text}, '{c}', '')) + 0.25)::double" for c in LETTERS)
+    return f"list_transform([[{counts}]], lambda c: list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))))[1]"
+
+
+def _sql_size(sql: str, old: int, new: int) -> str:
+    """The chunking's common table expressions for another size."""
+    return sql.replace(f"> {old}", f"> {new}").replace(f", {old})", f", {new})").replace(f", {old - old // 5}))", f", {new - new // 5}))")
+
+
+def _sized(size: int) -> str:
+    """chunks of both builds at one size, as `four_{size}`."""
+    base = f"n{size} as (select doc, page, {norm('raw_text')} as text from pg), {_sql_fixed(f'n{size}', 'text', 'doc, page', size, 50)}".replace("win ", f"bwin{size} ").replace("from win", f"from bwin{size}").replace("fixed as", f"bfixed{size} as")
+    plain = _sql_fixed("plain", "text", "doc, page", size, 40).replace("win ", f"pwin{size} ").replace("from win", f"from pwin{size}").replace("fixed as", f"pfixed{size} as")
+    read = _sql_blocks("read", "text", "doc, page", size)
+    for name in ("bl", "fold", "kept", "cut"):
+        read = read.replace(f"{name} as", f"{name}{size} as").replace(f"from {name})", f"from {name}{size})").replace(f"from {name}),", f"from {name}{size}),")
+    return f"""{base}, {plain}, {read},
+top{size} as (select doc, page, piece, case when heading is not null and not contains({squash('text')}, {squash('heading')}) then concat('## ', heading, {NL}, text) else text end as text
+  from cut{size} left join hd using (doc, page) where not (heading is not null and not contains(text, {NL}) and contains({squash('text')}, {squash('heading')}))),
+four{size} as (select 'baseline_{size}' as config, doc, page, piece, text as st from bfixed{size}
+  union all select 'improved_{size}', doc, page, piece, concat(doc, ' ', page, '쪽', {NL}, text) from (select doc, page, piece, text from pfixed{size} union all select doc, page, piece, text from top{size}))"""
+
+
+_FOUR = f"""{_RESOLVED}, plain as (select doc, page, text from resolved where how in ('text', 'fallback')), read as (select doc, page, text from resolved where how in ('vlm', 'cache')),
+hd as (select doc, page, concat('Part ', page) heading from resolved where page % 3 = 0), {_sized(500)}, {_sized(1000)},
+four as (select config, doc, page, row_number() over (partition by config order by doc, page, piece) as chunk_id, {_sql_letters('st')} v from (select * from four500 union all select * from four1000)),
+ask4 as (select qid, {_sql_letters('question')} q from questions_v),
+best4 as (select config, qid, doc, page, row_number() over (partition by config, qid order by round(list_inner_product(q, v), 9) desc, chunk_id) as rank from ask4, four qualify rank <= 10)"""
+_REPORT_4 = _rel(f"{_FOUR.strip()}, {_COVER}, {_metric(5, 'best4', 'config')}, {_metric(10, 'best4', 'config')}")
+
+
+@query(f"""{_REPORT_4} select config, coverage, count(*) as n, {_MEANS} from pm5 p5 join pm10 p10 using (config, qid) join cover using (qid)
+group by grouping sets ((config), (config, coverage))""")
+def q6_3_four_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baseline and improved indexes at two sizes, built from pages, saved under their names in one place, searched at
+    once, and reported."""
+    place = _folder(spark, "four")
+    pages, cached, new = _reads(spark, sf_dir)
+    resolved = stage_table(pg.resolve_pages(pages, cached, new), "resolved")
+    titles = _headings(pages).withColumnRenamed("heading", "title")
+    for size in (500, 1000):
+        built = {f"baseline_{size}": ck.build_baseline(pages, size).withColumn("search_text", F.col("text")), f"improved_{size}": ck.index_of_resolved(resolved, titles, size=size)}
+        for name, chunks in built.items():
+            io.write_index(chunks.select("chunk_id", "doc", "page", _letters(F.col("search_text")).alias("embedding")), place, name)
+    asked = view(spark, sf_dir, "questions_v").select("qid", _letters(F.col("question")).alias("embedding"))
+    hits = ask.search_indexes(asked, io.read_index(spark, place), k=10).withColumnRenamed("index_name", "config")
+    return _six(metrics.retrieval_report(hits, view(spark, sf_dir, "gold_v"), _coverage(spark, sf_dir)))
+
+
 @query(f"with {_CONFIG_HITS} select config, qid, string_agg(concat(doc, '#', page), ',' order by rank) as pages from hits_c where rank <= 10 group by 1, 2")
 def q6_3_top_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_pages(_config_hits(spark, sf_dir)).withColumn("pages", F.array_join("pages", ","))
@@ -323,11 +383,17 @@ def q1_5_write_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(path)
 
 
-@query(f"with {_PACKED} select batch, count(*) as n, min(id) as first, max(id) as last from packed group by 1")
+@query(f"""with {_PACKED}, w as (select *, max(batch) over () most from packed)
+select concat('part_', lpad(batch::varchar, greatest(2, length(most::varchar))::int, '0'), '.json') as file, count(*) as n, string_agg(id, ',' order by id) as ids, min(answer) as first_answer from w group by batch, most""")
 def q1_6_write_judge_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches as files of one array each, read back with their names."""
     path = _folder(spark, "batches")
-    io.write_judge_batches(_packed(spark, sf_dir).select("id", "batch", "config", "no", "answer"), path)
-    return spark.read.json(path).groupBy("batch").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    packed = _packed(spark, sf_dir).select("id", "batch", "config", "no", "answer")
+    io.write_judge_batches(packed.withColumn("answer", F.lit("of an earlier run")).withColumn("batch", F.col("batch") + 1), path, "part")
+    io.write_judge_batches(packed, path, "part")
+    rows = spark.read.schema("id string, config string, no int, answer string").option("multiLine", True).json(f"{path}/part_*.json")
+    rows = rows.select("*", F.regexp_extract("_metadata.file_path", "[^/]+$", 0).alias("file"))
+    return rows.groupBy("file").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"), F.min("answer").alias("first_answer"))
 
 
 @query("with x as (select 1) select doc_id, case when doc_id % 10 <> 3 then length(text) else -1 end as n_chars from documents")

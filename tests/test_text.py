@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.functions.html import html_table_shapes
 
 
 def one(spark, expr, *values):
@@ -38,7 +39,7 @@ def test_table_shapes(spark):
     assert [tuple(x) for x in one(spark, tx.table_shapes, text)] == [(2, 3), (1, 2)]
     assert one(spark, tx.table_shapes, None) == []
     html = "<p>x</p><table><tr><th>a<th>b</tr><tr><td>1</td><td>2</td></tr></table>"
-    assert [tuple(x) for x in one(spark, tx.html_table_shapes, html)] == [(2, 2)]
+    assert [tuple(x) for x in one(spark, html_table_shapes, html)] == [(2, 2)]
 
 
 @pytest.mark.parametrize(
