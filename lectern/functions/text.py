@@ -23,8 +23,8 @@ def strip(c: Column) -> Column:
 
 
 def normalize_ws(c: Column) -> Column:
-    """Every run of white space as one blank, none at the ends."""
-    return F.btrim(F.regexp_replace(c, WS + "+", " "))
+    """Every run of white space as one blank, none at the ends. Visible ASCII and single blanks are told apart first."""
+    return F.btrim(F.regexp_replace(c, rf"(?![\x21-\x7e]| [\x21-\x7e]| {INK}){WS}++", " "))
 
 
 def squash(c: Column) -> Column:
@@ -68,14 +68,10 @@ def table_shapes(text: Column) -> Column:
 def is_degenerate(text: Column, max_chars: int = 6000, max_line_len: int = 1500, unique_ratio: float = 0.5, short: int = 10) -> Column:
     """Whether a page reading ran away: too long, a line too long, or too many equal lines. Lines are taken without white
     space at their ends; those of `short` characters do not count."""
-    longer = lambda n: rf"{INK}[^\n]{{{n - 1},}}{INK}"  # noqa: E731 - a line of more than n characters, from ink to ink
-    lines = F.regexp_extract_all(text, F.lit(longer(short)), F.lit(0))
-    return (
-        F.when(F.length(text) > max_chars, True)
-        .when(F.size(lines) == 0, False)
-        .when(text.rlike(longer(max_line_len)), True)
-        .otherwise(F.size(F.array_distinct(lines)) / F.size(lines) < unique_ratio)
-    )
+    lines = F.regexp_extract_all(text, F.lit(rf"{INK}[^\n]{{{short - 1},}}{INK}"), F.lit(0))  # from ink to ink, more than `short`
+    few = lambda ls: F.size(F.array_distinct(ls)) / F.size(ls) < unique_ratio
+    judged = lambda ls: (F.size(ls) > 0) & (F.exists(ls, lambda x: F.length(x) > max_line_len) | few(ls))
+    return F.when(F.length(text) > max_chars, True).when(text.isNotNull(), F.transform(F.array(lines), judged)[0])
 
 
 def clean_title(raw: Column, max_title: int = 80) -> Column:
@@ -175,4 +171,4 @@ def l2_normalize(v: Column) -> Column:
     """A vector of unit length, in doubles; null for a null vector or one of length zero."""
     x = v.cast("array<double>")
     norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, b: a + b * b))
-    return F.when(norm > 0, F.transform(x, lambda y: y / norm))
+    return F.when(norm > 0, F.transform(F.array(norm), lambda n: F.transform(x, lambda y: y / n))[0])  # the norm once, not for each component

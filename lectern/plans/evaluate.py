@@ -116,7 +116,7 @@ LETTERS = "etaoinsrldu"
 def _letters(text):
     """A stand-in for a model's vector: the share of some letters, of unit length."""
     counts = F.array(*(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) + F.lit(0.25) for c in LETTERS))
-    return tx.l2_normalize(counts)
+    return F.transform(F.array(counts), tx.l2_normalize)[0]
 
 
 def _sql_letters(text: str) -> str:
