@@ -87,14 +87,13 @@ _TABLED = """replace(replace(replace(replace(html, '<ul>', '<table>'), '</ul>',
 _NESTED = f"case when page_id % 5 = 0 then replace({_TABLED}, '<td colspan=3>', '<td colspan=3><table><tr><td>x<td>y</table>') else {_TABLED} end"
 
 
-@query("""with n as (select page_id, len(regexp_extract_all(html, '<li>')) as lis, len(regexp_extract_all(html, '<ul>')) as uls from pages)
-select page_id, uls + case when page_id % 5 = 0 then lis else 0 end as n_tables, concat(lis, 'x', case when page_id % 2 = 0 and lis > 1 then 5 else 4 end, case when page_id % 5 = 0 then repeat(',1x2', lis::int) else '' end) as shapes
-from n where uls = 1""")
+@query("""with n as (select page_id, len(regexp_extract_all(coalesce(html, ''), '<li>')) as lis, len(regexp_extract_all(coalesce(html, ''), '<ul>')) as uls from pages)
+select page_id, case when uls = 0 then 0 when page_id % 5 = 0 then uls + lis else uls end as n_tables, case when uls = 0 then '' else
+  concat(lis, 'x', case when page_id % 2 = 0 and lis > 1 then 5 else 4 end, case when page_id % 5 = 0 then repeat(',1x2', lis::int) else '' end) end as shapes from n""")
 def q2_04_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's menu as a table, with cells over three columns, over two rows, with open rows and cells, and with a
     table in each row's cell."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html like '%<ul>%' and html not like '%<ul>%<ul>%'")
-    rows = pages.withColumn("t", html_table_shapes(F.expr(_NESTED)))
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("t", html_table_shapes(F.expr(_NESTED)))
     text = F.array_join(F.transform("t", lambda x: F.concat(x["rows"].cast("string"), F.lit("x"), x["cols"].cast("string"))), ",")
     return rows.select("page_id", F.size("t").cast("long").alias("n_tables"), text.alias("shapes"))
 
