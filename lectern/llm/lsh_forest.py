@@ -10,9 +10,12 @@ Candidates are sifted by their signatures and confirmed on full shingle sets: fi
 document, then every candidate pair whose ends those links have not joined. Links give connected components. Then
 regions are contracted: of each component in a region one set stays, and these have new neighbours, at smaller depths.
 That goes on until a round finds no link (ROUNDS at most). A region whose sets are all in one component is settled;
-what is left apart in others is compared without a cap: a prefix filter over all their members (rare_prefixes,
-crowd_pairs) names every pair of different components that can reach the threshold. So a pair that shares a region in
-any tree is found, however large the region is; with exact=True all sets go through that filter, whatever their regions.
+what is left apart in others is compared without a cap, block against block (block_links): the shingle sets of a region
+are dealt to blocks of bounded size, each set is sent once for each pair of blocks that it is in, and no pair is ever a
+row. Inside a pair of blocks a filter over each set's rarest shingles names the pairs that can reach the threshold, and
+what leaves it are links enough to join what belongs together, at most one for each set. So a pair that shares a region
+in any tree is found, however large the region is. exact=True compares all sets, whatever their regions, by a join on
+their rarest shingles (crowd_pairs).
 
 A pair shares no region with a chance of (1 - s^3)^16: 3e-7 at similarity s = 0.85, 1e-5 at 0.8; the sift turns a pair
 at the threshold away once in 300,000. Orders are range-sorted over (region, further values, id), which splits a region
@@ -45,6 +48,8 @@ PREFIX = 3
 ORDER_BYTES = 24  # of the values after the prefix that the order reads
 ROUNDS = 3  # contractions at most, before what is left goes through the prefix filter
 SLOTS = 1 << 18  # counters that tell rare shingles from common ones
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20  # of one side of a pair of blocks, in the mean
+AT_ONCE = 1 << 20  # shingles that one set is compared with in one step
 SIGNED = "doc_id long, of_text long, n_shingles long, d1 long, d2 long, low binary, keys array<long>"
 
 _odd = mix64(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -278,16 +283,22 @@ def rare_prefixes(some: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return some.select("doc_id", "text").mapInPandas(run, "h long, doc_id long, n long, at long, leads boolean")
 
 
-def crowd_pairs(some: DataFrame, joined: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(a, b), a < b: all pairs of sets of some in different components that can have a similarity of num / den.
-    The largest component of a shingle's holders is not compared with itself, so that near copies that are joined
-    already cost one row each for a shingle that all of them hold."""
+def shared_prefixes(some: DataFrame, joined: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The rows of rare_prefixes, with component, for shingles that sets of several components hold; main is the one
+    that holds the shingle most often, and rest is true outside it."""
     of = joined.select(F.col("node").alias("doc_id"), "component")
     rows = rare_prefixes(some, size, num, den).join(of.hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     rows = stage_table(rows, "prefixes")
     parts = rows.groupBy("h", "component").agg(F.count("*").alias("n"))
     most = parts.groupBy("h").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    rows = stage_table(rows.join(most.select("h", "main").hint("merge"), "h").withColumn("rest", F.col("component") != F.col("main")), "mixed")
+    return stage_table(rows.join(most.select("h", "main").hint("merge"), "h").withColumn("rest", F.col("component") != F.col("main")), "mixed")
+
+
+def crowd_pairs(some: DataFrame, joined: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(a, b), a < b: all pairs of sets of some in different components that can have a similarity of num / den.
+    The largest component of a shingle's holders is not compared with itself, so that near copies that are joined
+    already cost one row each for a shingle that all of them hold."""
+    rows = shared_prefixes(some, joined, size, num, den)
     few, many = (rows.select("h", *(F.col(c).alias(f"{c}{k}") for c in ("doc_id", "n", "at", "leads", "component", "rest"))) for k in (1, 2))
     both = few.where("rest1").join(many.hint("merge"), "h").where("component1 <> component2 and (not rest2 or doc_id1 < doc_id2)")
     first = F.expr("n1 < n2 or n1 = n2 and doc_id1 < doc_id2")
@@ -295,6 +306,111 @@ def crowd_pairs(some: DataFrame, joined: DataFrame, size: int, num: int, den: in
     return both.where(able).select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
 
 
+def hash_sets(some: DataFrame, size: int) -> DataFrame:
+    """(doc_id, x): each shingle set as sorted 64-bit hashes."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [shingle_hashes(t, size).tobytes() for t in pdf["text"]]})
+        _words.clear()
+
+    return some.select("doc_id", "text").mapInPandas(run, "doc_id long, x binary")
+
+
+def block_pairs(rows: DataFrame) -> DataFrame:
+    """(key, tree, p, q, second, doc_id, component): rows (key, tree, doc_id, component, n_shingles) of regions, once for
+    each pair of blocks (p, q) that they take part in; second tells the sides of a pair apart. The largest component of
+    a region is not compared with itself: its blocks stand on the second side only."""
+    parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    main = F.max_by("component", F.struct("n", "component"))
+    rest = lambda c: F.sum(c) - F.max_by(c, F.struct("n", "component"))
+    blocks = lambda n, m: F.ceil(F.greatest(n / BLOCK_SETS, m / BLOCK_SHINGLES)).cast("int")
+    most = lambda c: F.max_by(c, F.struct("n", "component"))
+    dealt = parts.groupBy("key").agg(main.alias("main"), blocks(rest("n"), rest("m")).alias("r"), blocks(most("n"), most("m")).alias("of_main"))
+    rows = rows.join(stage_table(dealt.where("r > 0"), "dealt").hint("merge"), "key").withColumn("in_main", F.expr("component = main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("in_main"), F.col("of_main")).otherwise(F.col("r"))).cast("int"))
+    at = F.expr("""case when in_main then transform(sequence(0, r - 1), k -> struct(k as p, r + own as q, true as second))
+        else concat(transform(sequence(0, r - 1), k -> struct(least(own, k) as p, greatest(own, k) as q, own > k as second)),
+                    transform(sequence(0, of_main - 1), k -> struct(own as p, r + k as q, false as second))) end""")
+    return rows.select("key", "tree", "doc_id", "component", F.explode(at).alias("at")).select("key", "tree", "at.*", "doc_id", "component")
+
+
+def links_of_blocks(ids, component, second, keys, sets, tree: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (a, b), a < b, of at least num / den that join whatever the links between sets of different components
+    join: of the two sides, or of the one. Pairs that share a region in an earlier tree are left to that tree. The rarest
+    shingles are those of rare_prefixes, with the blocks' own counts for an order."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    of, start = np.repeat(np.arange(len(sets)), n), np.cumsum(n) - n
+    _, shingle, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((shingle, often[shingle], of))  # each set's shingles, rarest first
+    at = np.arange(len(of)) - start[of]
+    leads = at <= (n - -(-2 * n * num // (num + den)))[of]
+    front = (at <= (n - -(-n * num // den))[of]) & (often[shingle[order]] > 1)
+    first_side = np.append(0, np.cumsum(front))  # where each set's entries start
+    first_side = first_side[np.append(start, len(of))]
+    code, owner, at, leads = shingle[order][front], of[front], at[front], leads[front]
+    by_code = np.argsort(code, kind="stable")
+    lo, hi = (np.searchsorted(code[by_code], code, side) for side in ("left", "right"))
+    label = np.unique(component, return_inverse=True)[1]
+    alone, has, links = not second.any(), np.zeros(len(often), bool), []
+    for a in np.flatnonzero(~second):
+        e = np.arange(first_side[a], first_side[a + 1])
+        e = e[hi[e] - lo[e] > 1]
+        if not len(e):
+            continue
+        count = hi[e] - lo[e]
+        mine = np.repeat(e, count)
+        its = by_code[np.repeat(lo[e] - np.cumsum(count) + count, count) + np.arange(len(mine))]
+        c = owner[its]
+        able = (c > a if alone else second[c]) & (label[c] != label[a])
+        mine, its, c = mine[able], its[able], c[able]
+        able = np.where((n[a] < n[c]) | ((n[a] == n[c]) & (a < c)), leads[mine], leads[its])
+        able &= np.minimum(n[a] - at[mine], n[c] - at[its]) * (num + den) >= (n[a] + n[c]) * num
+        near = np.unique(c[able])
+        near = near[(keys[near] == keys[a]).argmax(axis=1) == tree]
+        has[shingle[start[a] : start[a] + n[a]]] = True
+        ends = np.cumsum(n[near])
+        for part in np.split(near, np.flatnonzero(np.diff(ends // AT_ONCE)) + 1) if len(near) else ():
+            held = has[np.concatenate([shingle[start[c] : start[c] + n[c]] for c in part])]
+            both = np.add.reduceat(held, np.cumsum(n[part]) - n[part], dtype=np.int64)
+            for c in part[den * both >= num * (n[a] + n[part] - both)]:
+                if label[c] != label[a]:
+                    links.append((min(ids[a], ids[c]), max(ids[a], ids[c])))
+                    label[label == label[c]] = label[a]
+        has[shingle[start[a] : start[a] + n[a]]] = False
+    return links
+
+
+def block_links(left: DataFrame, sets: DataFrame, some: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(a, b): links that join whatever is alike and still apart in the regions of left."""
+
+    def of_group(g):
+        cols = {c: np.concatenate([x[c].to_numpy() for x in g]) for c in ("doc_id", "component", "second")}
+        keys = np.stack([k for x in g for k in x["keys"]])
+        hashes = [np.frombuffer(s, np.uint64) for x in g for s in x["x"]]
+        return links_of_blocks(cols["doc_id"], cols["component"], cols["second"].astype(bool), keys, hashes, int(g[0]["tree"].iloc[0]), num, den)
+
+    def run(batches):
+        group, last = [], None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            at = pdf[["key", "p", "q"]].to_numpy(np.int64)
+            cuts = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+                if group and tuple(at[lo]) != last:
+                    yield pd.DataFrame(of_group(group), columns=["a", "b"], dtype="int64")
+                    group = []
+                group, last = [*group, pdf.iloc[lo:hi]], tuple(at[lo])
+        if group:
+            yield pd.DataFrame(of_group(group), columns=["a", "b"], dtype="int64")
+
+    pairs = block_pairs(left.join(sets.select("doc_id", "n_shingles").hint("merge"), "doc_id"))
+    full = stage_table(hash_sets(some, size).join(sets.select("doc_id", "keys").hint("merge"), "doc_id"), "hashed")
+    rows = stage_table(pairs, "block_pairs").join(full.hint("merge"), "doc_id").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return stage_table(rows.select("key", "p", "q", "tree", "second", "doc_id", "component", "keys", "x").mapInPandas(run, "a long, b long"), "block_links")
+
+
 def _extend(links: DataFrame, pairs: DataFrame, some: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Components of links and of those further pairs that hold between different components; and all links."""
     joined = connected_components(links)
@@ -320,7 +436,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     classes = stage_table(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     of = stage_table(filled.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep").distinct(), "of")
     reps = of.where("doc_id = rep").select("doc_id")
-    sets = stage_table(filled.join(reps, "doc_id", "left_semi").select("doc_id", "of_text", "low", "keys").dropDuplicates(["doc_id"]), "sets")
+    sets = stage_table(filled.join(reps, "doc_id", "left_semi").select("doc_id", "of_text", "n_shingles", "low", "keys").dropDuplicates(["doc_id"]), "sets")
     least = sift_at(num / den)
     crowded = crowds(sets)
     found = neighbours(in_trees(sets), least).union(sifted(originals(crowded), sets, least))
@@ -343,11 +459,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         pairs, links = pairs.union(again), links.union(new)
         joined = connected_components(links)
         left = unsettled(left.drop("component"), joined)
-    rest = some if exact else some.join(left.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    if exact or not left.isEmpty():  # whatever the offers left apart
-        wide = stage_table(crowd_pairs(rest, joined, size, num, den).join(pairs, ["a", "b"], "left_anti"), "wide")
+    if exact:
+        wide = stage_table(crowd_pairs(some, joined, size, num, den).join(pairs, ["a", "b"], "left_anti"), "wide")
         if not wide.isEmpty():
             joined = connected_components(links.union(confirmed(wide, some, size, num, den)))
+    elif not left.isEmpty():  # whatever the offers left apart
+        rest = some.join(left.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+        able = stage_table(shared_prefixes(rest, joined, size, num, den).select("doc_id").distinct(), "able")
+        if not able.isEmpty():
+            left = stage_table(left.select("key", "tree", "doc_id", "component").join(able.hint("merge"), "doc_id", "left_semi"), "left")
+            new = block_links(left, sets, some.join(able.hint("merge"), "doc_id", "left_semi"), size, num, den)
+            joined = connected_components(links.union(new))
     found = of.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     found = found.select("doc_id", F.coalesce("component", "rep").alias("component"))
     result = every.select("doc_id", "n_shingles").join(found, "doc_id", "left")

@@ -281,6 +281,35 @@ def test_near_duplicates_joins_groups_in_a_crowd(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [9, 2048])
+def test_near_duplicates_block_against_block(spark, monkeypatch, block):
+    """A crowd under the threshold with some pairs over it, and a large joined group: any number of blocks joins the same."""
+    monkeypatch.setattr(lsh_forest, "BLOCK_SETS", block)
+    rng = random.Random(13)
+    base = [f"b{k}" for k in range(60)]
+    texts = [[w if rng.random() > 0.06 else f"x{rng.randrange(4)}" for w in base] for _ in range(90)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = {i: set(lsh_forest.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    component = {i: 0 if i < 30 else i for i in sets}
+    of = lambda links: [min(c[0] for c in components_of(links, component) if i in c[1]) for i in sets]
+
+    def components_of(links, component):
+        root = dict(component)
+        for a, b in links:
+            x, y = sorted((root[a], root[b]))
+            root = {i: x if r == y else r for i, r in root.items()}
+        return [(r, {i for i in root if root[i] == r}) for r in set(root.values())]
+
+    alike = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert any(component[a] != component[b] for a, b in alike)
+    keys = [7] + list(range(lsh_forest.TREES - 1))
+    left = spark.createDataFrame([(7, 0, i, component[i]) for i in sets], "key long, tree int, doc_id long, component long")
+    some = spark.createDataFrame([(i, len(x), [k if t == 0 else 100 * t + i for t, k in enumerate(keys)]) for i, x in sets.items()], "doc_id long, n_shingles long, keys array<long>")
+    links = [tuple(r) for r in lsh_forest.block_links(left, some, table(spark, rows), 5, 80, 100).collect()]
+    assert set(links) <= set(alike)
+    assert of(links) == of(alike)
+
+
 @pytest.mark.parametrize("partitions", [4, 67])
 def test_near_duplicates_at_any_number_of_partitions(spark, partitions):
     """Lone pairs and a crowd of copies, by regions and by the prefix filter alone."""
