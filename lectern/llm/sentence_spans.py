@@ -2,7 +2,7 @@
 
 A text is cut into sentences, and these into clauses (at a line feed, at the blank after one of `.!?,;:`, and at the
 stops of scripts without blanks), so that a passage copied into the middle of a long sentence still holds whole units.
-Every run of `span` consecutive units with at least `min_words` words is hashed to 96 bits; runs are grouped over all
+Every run of `span` consecutive units with at least `min_words` words is hashed to 95 bits, from 128 bits of each unit; runs are grouped over all
 documents with map-side sums, and every unit that a run covers goes unless that run is its first occurrence, by
 (doc_id, position). A run that a third of all documents hold is one row for each map task in the grouping, and the join
 that brings verdicts back is of two plain exchanges, which Spark splits where they are skewed.
@@ -64,12 +64,11 @@ def run_hashes(found: list[str], span: int, min_words: int) -> tuple[np.ndarray,
     n = len(found) - span + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty((0, 2), np.int64)
-    each = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+    each = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), ">u8").astype(np.uint64).reshape(-1, 2)
     words = np.cumsum([0, *map(n_words, found)])
     h, g = np.full(n, np.uint64(span)), np.zeros(n, np.uint64)
     for k in range(span):
-        h = mix64(h + each[k : k + n])
-        g = mix64(g ^ (each[k : k + n] + np.uint64(0x9E3779B97F4A7C15)))
+        h, g = mix64(h + each[k : k + n, 0]), mix64(g + each[k : k + n, 1])  # from both halves of a unit's 128 bits
     pos = np.flatnonzero(words[span:] - words[:-span] >= min_words)
     return pos, np.stack([h.view(np.int64), (g >> np.uint64(33)).astype(np.int64)], 1)[pos]
 
