@@ -1,16 +1,18 @@
 """SentencePiece encoding and decoding of whole tables by a batched Viterbi search in numpy.
 
 No piece spans the place before a word's blank mark, so a text is encoded word by word, and each distinct word of a
-batch once. Words of equal length form a matrix of code points and advance together: at each end place, hashes of the
-substrings that end there probe the sorted keys of the pieces, and maxima over the piece lengths store backpointers. A unigram model maximises the sum of scores. A BPE model (such as the public one used here) is no sum of
-scores: a segmentation is the one that merging gives exactly if each two neighbours stay apart when merged by
-themselves, so a step is allowed only from a prefix whose last piece is compatible, and one path remains.
-Characters without a piece become byte pieces. Words of more than LONG characters (texts without blanks) go one by one:
-their substrings are probed for a slice of places at once, and a plain loop joins what was found.
+batch once. Words of one length class (equal up to 31 characters, within a sixteenth beyond, and then filled up with a
+code that no piece holds) form a matrix of code points and advance together: at each end place, hashes of the substrings
+that end there probe the sorted keys of the pieces, and maxima over the piece lengths store backpointers. A unigram model
+maximises the sum of scores. A BPE model (such as the public one used here) is no sum of scores: a segmentation is the one
+that merging gives exactly if each two neighbours stay apart when merged by themselves, so a step is allowed only from a
+prefix whose last piece is compatible, and one path remains. Characters without a piece become byte pieces. Classes of
+fewer than TOGETHER words (such as a whole text without blanks) share one row: their substrings are probed for a slice of
+places at once, and the same maxima are taken place by place, which gives the same ids (tested at both sides).
 
 Cases: null and empty texts have no pieces; a text that holds the blank mark U+2581 itself decodes to blanks;
 repeated rows are encoded one by one; a text of any length is encoded whole, also as a single word, in memory of some
-100 bytes and time of some 10 microseconds a character; an empty table gives an empty result; further columns are ignored.
+100 bytes and time of some 5 microseconds a character; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,11 +33,21 @@ LETTER, STOPS = r"[^\W\d_²]", ".,!?|"
 SHORT_WORDS = re.compile(f"{MARK}*(?:[^{MARK}\n{STOPS}]*{LETTER}(?=[{STOPS}])|[^{MARK}\n]+)|{MARK}+|\n")
 CACHE_WORDS = 300_000
 CHUNK_CHARS = 1 << 20
-LONG, SLICE = 48, 1 << 16
+TOGETHER, SLICE, FILL = 64, 1 << 16, 0x110000
 TABLE_BITS = 18
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+def length_class(n: int) -> int:
+    """The greatest length that shares n's class: n itself up to 31, at most a sixteenth more beyond."""
+    spare = max(0, n.bit_length() - 5)
+    return -(-n >> spare) << spare
+
+
+def code_points(words: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
 def _merge(word: str, rank: dict[str, int]) -> tuple[list[str], tuple[str, str] | None]:
     """Symbols that merging leaves of a word, and the last merge."""
     parts, last = list(word), None
@@ -134,9 +146,11 @@ class PieceModel:
         return ok
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids (little-endian, 32 bits) of words of one length, by Viterbi."""
-        size, m = len(words[0]), len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size).astype(np.uint64)
+        """Ids (little-endian, 32 bits) of many words of one length class, by Viterbi."""
+        lengths = np.array([len(w) for w in words])
+        size, m = int(lengths.max()), len(words)
+        codes = np.full((m, size), FILL, np.uint64)
+        codes[np.arange(size) < lengths[:, None]] = code_points(words)
         prefix = np.zeros((size + 1, m), np.uint64)
         for k in range(size):
             prefix[k + 1] = prefix[k] * _BASE + codes[:, k] + np.uint64(1)
@@ -176,7 +190,7 @@ class PieceModel:
             np.maximum.at(top, rows, value)
             won = np.flatnonzero((value == top[rows]) & (value > -np.inf))
             best[end], piece[end, rows[won]], step[end, rows[won]] = top, ids[won], sizes[won]
-        at, trail = np.full(m, size), []
+        at, trail = lengths.copy(), []
         while (live := np.flatnonzero(at > 0)).size:
             trail.append((live, piece[at[live], live], at[live]))
             at[live] -= step[at[live], live]
@@ -223,12 +237,14 @@ class PieceModel:
 
         return apart
 
-    def encode_long(self, word: str) -> bytes:
-        """Ids of one long word."""
-        n = len(word)
-        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    def encode_few(self, words: list[str]) -> list[bytes]:
+        """The same for few words, of any lengths: one row of all their characters, with FILL after each word."""
+        ends_of = np.cumsum([len(w) for w in words])
+        codes = np.insert(code_points(words), ends_of, np.uint64(FILL)) + np.uint64(1)
+        n = len(codes)
+        fills = set((ends_of + np.arange(1, len(words) + 1)).tolist())
         piece, step, best = [-2] * (n + 1), [0] * (n + 1), [0.0] * (n + 1 if self.unigram else 0)
-        apart, score = self._joins(), self.score.tolist()
+        apart, score = self._joins(), self.score.tolist() if self.unigram else []
         for low in range(0, n, SLICE):
             high, begin = min(n, low + SLICE), max(0, low - self.longest)
             ends, found, sizes = [], [], []
@@ -250,26 +266,30 @@ class PieceModel:
                 if not here or sizes[here[0]] > 1:  # the character has no piece
                     piece[end], step[end] = -1, 1
                     if self.unigram:
-                        best[end] = best[end - 1] - 1e4
+                        best[end] = 0.0 if end in fills else best[end - 1] - 1e4
                 elif self.unigram:
                     best[end] = float("-inf")
                 for e in here:
                     size, one = sizes[e], found[e]
                     if self.unigram:
-                        if (value := best[end - size] + score[one]) > best[end]:
+                        if (value := best[end - size] + score[one]) >= best[end]:
                             best[end], piece[end], step[end] = value, one, size
                         continue
                     before = piece[end - size]
                     if size == end or before == -1 or before >= 0 and apart(before, one):
                         piece[end], step[end] = one, size
-        out, at = [], n
-        while at:
-            if piece[at] >= 0:
-                out.append(piece[at])
-            else:
-                out += self.bytes[list(word[at - 1].encode("utf-8", "surrogatepass"))].tolist()[::-1]
-            at -= step[at]
-        return np.array(out[::-1], "<u4").tobytes()
+        out, start = [], 0
+        for word in words:
+            ids, at = [], start + len(word)
+            while at > start:
+                if piece[at] >= 0:
+                    ids.append(piece[at])
+                else:
+                    ids += self.bytes[list(word[at - start - 1].encode("utf-8", "surrogatepass"))].tolist()[::-1]
+                at -= step[at]
+            out.append(np.array(ids[::-1], "<u4").tobytes())
+            start += len(word) + 1
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         raw = b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -294,15 +314,18 @@ class Encoder:
         self.known.update((w, self.older[w]) for w in again)
         by_size: dict[int, list[str]] = {}
         for w in new - again:
-            if len(w) > LONG:
-                self.known[w] = self.model.encode_long(w)
-            else:
-                by_size.setdefault(len(w), []).append(w)
+            by_size.setdefault(length_class(len(w)), []).append(w)
+        few = []
         for size, words in by_size.items():
-            most = max(1, 400_000 // size)
+            if len(words) < TOGETHER:
+                few += words
+                continue
+            most = max(TOGETHER, 400_000 // size)
             for s in range(0, len(words), most):
                 part = words[s : s + most]
                 self.known.update(zip(part, self.model.encode_words(part), strict=True))
+        if few:
+            self.known.update(zip(few, self.model.encode_few(few), strict=True))
         return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
 
 
