@@ -83,8 +83,8 @@ with v as (
   select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
   where embedding is not null and vec_id is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint score
-      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+s as (select q.vec_id query_id, c.vec_id, max(list_inner_product(q.v, c.v))::bigint score
+      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0 group by q.vec_id, c.vec_id),
 r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 10
 """

@@ -6,9 +6,11 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,10 +118,36 @@ def test_long_words_are_encoded_as_the_library_does():
     start = time.time()
     long = "".join(rng.choices("abcdeinorst的一", k=1_000_000))
     assert codec.model.decode(np.frombuffer(codec.encode([long])[0], "<u4")) == long and time.time() - start < 120
-    unigram = sp_codec.PieceModel(unigram=True)
-    total = lambda raw: sum(unigram.score[k] for k in np.frombuffer(raw, "<u4").tolist())
-    for w in words[:2]:
-        assert abs(total(unigram.encode_long(w)) - total(unigram.encode_words([w])[0])) < 1e-6
+
+
+@pytest.mark.parametrize("unigram", [False, True])
+def test_words_together_and_few_words_get_the_same_ids(unigram):
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    model, rng = sp_codec.PieceModel(unigram=unigram), random.Random(5)
+    alphabets = ["abcdeinorst", "▁thein", "的一是不了人我在有他é😀\ud7ff", ["ing", "the", "ation", "Q", "9", "한"]]
+    words = ["".join(rng.choices(rng.choice(alphabets), k=n)) for n in [*range(1, 140), 400, 999] for _ in range(3)]
+    by_class = collections.defaultdict(list)
+    for w in words:
+        by_class[sp_codec.length_class(len(w))].append(w)
+    assert all(size == len(w) for size, ws in by_class.items() if size < 32 for w in ws)
+    assert all(len(w) <= size <= len(w) * 17 / 16 for size, ws in by_class.items() for w in ws)
+    together = {w: ids for ws in by_class.values() for w, ids in zip(ws, model.encode_words(ws), strict=True)}
+    assert model.encode_few(words) == [together[w] for w in words] == [model.encode_few([w])[0] for w in words]
+    if not unigram:
+        texts = [w.replace("▁", " ").strip() for w in words]
+        assert [np.frombuffer(x, "<u4").tolist() for x in sp_codec.Encoder().encode(texts)] == sp.encode(texts)
+
+
+def test_many_words_of_sixty_letters_advance_together():
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdeinorst", k=rng.randint(55, 65))) for _ in range(4000))
+    codec = sp_codec.Encoder()
+    start = time.time()
+    ids = codec.encode([text])[0]
+    assert time.time() - start < 1e-5 * len(text) and codec.model.decode(np.frombuffer(ids, "<u4")) == text
 
 
 def test_a_long_text_of_one_word_is_judged_in_bounded_memory():
@@ -141,19 +169,38 @@ def test_exact_top_k(spark):
     rng = random.Random(4)
     rows = [(i, [round(rng.uniform(-1, 1), 3) for _ in range(6)]) for i in range(60)]
     rows += [(60, rows[3][1]), (61, rows[3][1]), (200, rows[5][1]), (70, None), (71, [float("nan")] * 6), (72, [None] * 6), (73, [float("inf")] * 6), (74, [0.5]), (74, [0.5]), (75, [])]
+    rows += [(20, rows[7][1]), (33, rows[9][1]), (200, [2.0])]  # other vectors under ids that queries and candidates have
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1)).withColumn("v", F.lit("clash"))
     vectors = topk.integer_vectors(df)
     for groups, per in ((24, 4096), (3, 1)):
         got = topk.exact_top_k(vectors, F.col("vec_id") % 20 == 0, 10, 10, per, groups).collect()
-        usable = {i: [math.floor(1024 * x) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+        usable = collections.defaultdict(list)
+        for i, v in rows:
+            if v is not None and all(x is not None and math.isfinite(x) for x in v):
+                usable[i].append([math.floor(1024 * x) for x in v])
         want = {}
         for q in (i for i in usable if i % 20 == 0):
-            scored = sorted((-sum(a * b for a, b in zip(usable[q], v)), i) for i, v in usable.items() if i != q)[:10]
+            scored = sorted((-max(sum(a * b for a, b in zip(u, v)) for u in usable[q] for v in vs), i) for i, vs in usable.items() if i != q)[:10]
             want |= {(q, k + 1): (i, -s) for k, (s, i) in enumerate(scored)}
         assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in got} == want
+        assert topk.exact_top_k(vectors, F.col("vec_id") % 20 == 0, 10, min_groups=1, cell_bytes=8 * 6 * 9).orderBy("query_id", "rank").collect() == sorted(got)
     assert topk.exact_top_k(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_cells_of_wide_vectors_are_bounded_in_bytes(spark):
+    """At a width of 1,024, cells hold 8,192 rows: their memory is a small multiple of cell_bytes."""
+    rng, n = np.random.default_rng(7), (1 << 26) // (8 * 1024)
+    pdf = pd.DataFrame({"vec_id": np.arange(n + 50), "v": list(rng.integers(-1024, 1024, (n + 50, 1024))), "is_query": np.arange(n + 50) >= n})
+    tracemalloc.start()
+    got = topk._cell(pdf, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 500 and peak < 4 << 26
+    wide = spark.range(3000).select(F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(1024)), lambda d: F.pmod(F.xxhash64("id", d), F.lit(64)) / 64.0).alias("embedding"))
+    narrow = topk.exact_top_k(topk.integer_vectors(wide), F.col("vec_id") % 100 == 0, cell_bytes=1 << 20)
+    assert sorted(narrow.collect()) == sorted(topk.exact_top_k(topk.integer_vectors(wide), F.col("vec_id") % 100 == 0, min_groups=2).collect())
+
+
 def span_brute_force(rows, span=3, min_words=8):
     """Spans over units found by a regular expression, in plain dictionaries."""
     seen, out = set(), {}
