@@ -11,8 +11,9 @@ how many of its pieces surely fit into one sequence. A superstep takes the next
 3. joins pieces and slots on the slot's rank; what no slot takes opens new sequences; what was placed is taken from
    the gaps. The next band goes on with these.
 
-Ranks, matches and gaps are distributed; only how many pieces and slots there are of each length (at most max_len numbers) comes to the driver, which takes the sweep's
-running sums over them. The number of supersteps depends on max_len, not on the number of documents.
+Ranks, matches and gaps are distributed; only how many pieces and slots there are of each length (at most max_len
+numbers) comes to the driver, which takes the sweep's running sums over them. The number of supersteps depends on
+max_len, not on the number of documents.
 
 Cases: null text is an empty document (one end token); an empty table gives an empty result; repeated rows are
 packed as often as they occur, and may share a doc_id; a text is tokenised whole, so a task holds some 20 bytes for each of

@@ -2,10 +2,10 @@
 
 A text is cut into sentences, and these into clauses (at a line feed, at the blank after one of `.!?,;:`, and at the
 stops of scripts without blanks), so that a passage copied into the middle of a long sentence still holds whole units.
-Every run of `span` consecutive units with at least `min_words` words is hashed to 95 bits, from 128 bits of each unit; runs are grouped over all
-documents with map-side sums, and every unit that a run covers goes unless that run is its first occurrence, by
-(doc_id, position). A run that a third of all documents hold is one row for each map task in the grouping, and the join
-that brings verdicts back is of two plain exchanges, which Spark splits where they are skewed.
+Every run of `span` consecutive units with at least `min_words` words is hashed to 95 bits, from 128 bits of each unit;
+runs are grouped over all documents with map-side sums, and every unit that a run covers goes unless that run is its
+first occurrence, by (doc_id, position). A run that a third of all documents hold is one row for each map task in the
+grouping, and the join that brings verdicts back is of two plain exchanges, which Spark splits where they are skewed.
 
 `n_clauses` and `n_removed` count units; `n_sentences` counts those that end a sentence, that is, neither end in one of
 `,;:` or their like nor go on. Two ideographs or kana count as a word.
@@ -60,7 +60,7 @@ def n_ends(found: list[str]) -> int:
 
 
 def run_hashes(found: list[str], span: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the runs that count, and their keys (two columns: 64 bits and 32 bits)."""
+    """Positions of the runs that count, and their keys (two columns: 64 bits and 31 bits)."""
     n = len(found) - span + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty((0, 2), np.int64)
