@@ -1,9 +1,11 @@
-"""Byte-level BPE ids of whole texts, a chunk between two blanks at a time, through a bounded cache.
+"""Byte-level BPE ids of whole texts.
 
-In this family of tokenizers a blank always opens a new pre-token when a visible character follows it. So a
-text's ids are those of its chunks, each with the blank before it, provided that no blank stands next to other
-white space. A text that has such a place is encoded whole. On request, special tokens of the vocabulary that a text
-spells out are taken as their ids, as the vocabulary's own library does.
+The vocabulary's library cuts a text into words and merges them outside of Python, and hands the ids over in one buffer.
+So a new word costs no more than a known one, and nothing is kept from one text to the next.
+
+Cases: on request, special tokens of the vocabulary that a text spells out are taken as their ids, as the vocabulary's own
+library does; a run of white space that is too long for the library's pattern (a million characters) is cut out, and
+merged as the one word that it is; an empty text has no ids.
 """
 
 from __future__ import annotations
@@ -15,28 +17,8 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 300_000
-CACHE_CHARS = 48  # longer chunks are encoded each time
-
-
-class _Chunks(dict):
-    def __init__(self, encode, dtype):
-        super().__init__()
-        self.encode, self.dtype = encode, dtype
-
-    def __missing__(self, chunk: str):
-        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-            raise _Whole
-        ids = np.array(self.encode(" " + chunk), self.dtype).tobytes()
-        if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-
-class _Whole(Exception):
-    pass
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"  # white space of the library's pattern
+LONG_RUN = re.compile(f"(?<![{SPACE}])([{SPACE}]{{1000,}})(?![^{SPACE}])")  # the last blank goes with a word after it
 
 
 class ByteBPE:
@@ -49,35 +31,35 @@ class ByteBPE:
 
         with open(public_tokenizers.path(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding(
-            "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-        self.dtype = np.dtype(f"<u{width}")
-        self.chunks = _Chunks(self.encoding.encode_ordinary, self.dtype)
-        self.special: dict[str, bytes] = {}
+        self.special: dict[str, int] = {}
         about = public_tokenizers.path(os.path.splitext(name)[0] + ".json")
         if special and os.path.exists(about):
             with open(about, encoding="utf-8") as f:
-                added = json.load(f)["added_tokens"]
-            self.special = {t["content"]: np.array([t["id"]], self.dtype).tobytes() for t in added}
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+                self.special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        # without any special token the library stops at each character to look for one: this one is never allowed
+        named = self.special or {"<|none|>": max(ranks.values()) + 1}
+        self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=named)
+        self.allowed = frozenset(self.special)
+        self.dtype = np.dtype(f"<u{width}")
+        either = "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
+        self.split = re.compile(f"({either})").split if either else lambda text: [text]
 
     def encode_bytes(self, text: str) -> bytes:
-        if self.special and any(t in text for t in self.special):
-            parts = self.split(text)  # every second one is a special token
-            return b"".join(self.special[x] if k % 2 else self.plain(x) for k, x in enumerate(parts) if x)
-        return self.plain(text)
-
-    def plain(self, text: str) -> bytes:
-        head, *rest = text.split(" ")
         try:
-            if rest and head and head[-1].isspace():
-                raise _Whole
-            return np.array(self.encoding.encode_ordinary(head), self.dtype).tobytes() + b"".join(
-                map(self.chunks.__getitem__, rest)
-            )
-        except _Whole:
-            return np.array(self.encoding.encode_ordinary(text), self.dtype).tobytes()
+            ids = self.encoding.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=())
+        except ValueError:  # the pattern cannot go back over a long run
+            ids = np.array(self.in_parts(text), np.uint32)
+        return ids.astype(self.dtype, copy=False).tobytes()
+
+    def in_parts(self, text: str) -> list[int]:
+        out = []
+        for k, part in enumerate(self.split(text)):  # every second one is a special token
+            if k % 2:
+                out.append(self.special[part])
+                continue
+            for j, x in enumerate(LONG_RUN.split(part)):  # every second one is a run
+                out += self.encoding._encode_single_piece(x) if j % 2 else self.encoding.encode_ordinary(x)
+        return out
 
 
 _loaded: dict[tuple, ByteBPE] = {}

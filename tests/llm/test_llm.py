@@ -65,6 +65,35 @@ def test_bpe_is_that_of_the_tokenizers_library():
         assert np.frombuffer(bpe.byte_bpe(special=True).encode_bytes(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("special", [False, True])
+def test_bpe_of_new_words_costs_what_the_library_does(special):
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choices("abcdeinorst", k=rng.randint(4, 12))) for _ in range(200_000))
+    plain, own = [], []
+    for _ in range(3):
+        codec = bpe.ByteBPE(special=special)  # to which each word is new
+        start = time.process_time()
+        want = codec.encoding.encode_ordinary(text)
+        middle = time.process_time()
+        got = codec.encode_bytes(text)
+        plain.append(middle - start)
+        own.append(time.process_time() - middle)
+    assert np.frombuffer(got, "<u4").tolist() == want
+    assert min(own) < 2 * min(plain)
+
+
+def test_bpe_of_long_runs_of_white_space():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    run = " \n\t\u3000" * 300_000
+    for t in (run, run + "x", "it's" + run + " x", "a " + run + "<|endoftext|>" + run + "é", " " * 1_200_000 + "\x1c b"):
+        assert np.frombuffer(bpe.byte_bpe(special=True).encode_bytes(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    t = "it's" + run + " x"
+    assert np.frombuffer(bpe.byte_bpe(width=2).encode_bytes(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("block", [7, 64, 1 << 16])
 def test_token_counts(spark, block):
     rows = corpus()
