@@ -227,11 +227,19 @@ heads as (select doc, page, case when own = '' or contains({squash('doc')}, {squ
   when length(line) <= 120 and not starts_with(line, '|') and contains({squash('line')}, {squash('own')}) then line else own end heading from w)"""
 
 
+def _headed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Web pages, and the headings (doc, page, heading) of those that have a title. An address may repeat: each of its pages
+    has a heading of its own title and text, told apart by page_id."""
+    web = view(spark, sf_dir, "web_v")
+    titled = web.where("page_id % 5 <> 4")
+    titles = titled.select("doc", "page", "page_id", F.when(F.col("page_id") % 7 == 3, "").otherwise(F.col("title")).alias("title"))
+    return web, pg.page_headings(titled, titles, on=("doc", "page", "page_id")).select("doc", "page", "heading")
+
+
 @query(f"with {_HEADING} select web_v.doc, coalesce(heading, '') as heading from web_v left join heads using (doc, page)")
 def q2_08_page_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    web = view(spark, sf_dir, "web_v")
-    titles = web.where("page_id % 5 <> 4").select("doc", "page", F.when(F.col("page_id") % 7 == 3, "").otherwise(F.col("title")).alias("title"))
-    return pg.page_headings(web, titles).select("doc", "heading")
+    web, heads = _headed(spark, sf_dir)
+    return web.select("doc", "page").join(heads, ["doc", "page"], "left").select("doc", F.coalesce("heading", F.lit("")).alias("heading"))
 
 
 def _sql_blocks(source: str, text: str, key: str, size: int = 500, min_len: int = 40) -> str:
@@ -250,10 +258,9 @@ select doc, piece, case when coalesce(heading, '') <> '' and not contains({squas
 from cut left join heads using (doc, page)
 where not (coalesce(heading, '') <> '' and not contains(text, {NL}) and contains({squash('text')}, {squash('heading')}))""")
 def q2_09_with_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    web = view(spark, sf_dir, "web_v")
-    titles = web.where("page_id % 5 <> 4").select("doc", "page", F.when(F.col("page_id") % 7 == 3, "").otherwise(F.col("title")).alias("title"))
+    web, heads = _headed(spark, sf_dir)
     chunks = ck.chunk_blocks(web.select("doc", "page", "text"))
-    return pg.with_heading(chunks, pg.page_headings(web, titles)).select("doc", F.col("piece").cast("long").alias("piece"), "text")
+    return pg.with_heading(chunks, heads).select("doc", F.col("piece").cast("long").alias("piece"), "text")
 
 
 @query(f"select doc_id, concat(doc, ' ', page, '쪽', {NL}, raw_text) as search_text from pages_v")

@@ -52,3 +52,15 @@ def test_top_k_is_cut_before_the_shuffle(spark, name):
     df = __spark_entry__.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["q2_08_page_heading", "q2_09_with_heading"])
+def test_headings_of_pages_that_share_an_address(spark, tmp_path, name):
+    """Three pages of one address: each heading is of its own title and text, one of them has no title."""
+    body = "</h1>" + "<p>Some words that make a block of enough characters. " * 3
+    pages = [(k, u, f"<title>T{k} of it</title><h1>T{h} of it, at length{body}") for k, u, h in [(0, "a", 0), (2, "a", 1), (4, "a", 4), (1, "b", 1), (6, "c", 8), (8, "c", 6), (9, "d", 9)]]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got, want = __spark_entry__.queries()[name](spark, str(tmp_path)), con.sql(SQL[name])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
