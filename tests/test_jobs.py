@@ -203,3 +203,18 @@ def test_a_choice_of_indexes_prunes_partitions(spark, tmp_path):
         io.write_index(rows, place, name)
     plan = io.read_index(spark, place).where(F.col("index_name").isin(["a"]))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*index_name", plan)
+
+
+def test_documents_are_one_folder_deep_and_many_share_a_task(spark, tmp_path):
+    for name in ["top.pdf", "a/x.pdf", "a/y.v2.pdf", "a/z.txt", "a/b/deep.pdf", "k=1/x.pdf", "k=1/_hidden.pdf", *(f"many/{n}.pdf" for n in range(600))]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = io.read_documents(spark, f"file://{tmp_path}/", chars=F.length("content"))
+    got = {r["path"].split(f"{tmp_path}/")[1]: (r["doc"], r["bytes"], r["chars"]) for r in found.collect()}
+    want = {"a/x.pdf": "x", "a/y.v2.pdf": "y.v2", "k=1/x.pdf": "x"} | {f"many/{n}.pdf": str(n) for n in range(600)}
+    assert got == {k: (d, len(k), len(k)) for k, d in want.items()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file is a partition
+    try:
+        assert io.read_documents(spark, f"file://{tmp_path}").rdd.getNumPartitions() <= max(603 // io.MERGED, io.MERGED * 4)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

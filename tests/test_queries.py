@@ -64,3 +64,14 @@ def test_headings_of_pages_that_share_an_address(spark, tmp_path, name):
     con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     got, want = __spark_entry__.queries()[name](spark, str(tmp_path)), con.sql(SQL[name])
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize("docs", [[(None, "a"), ("", "b\n"), ("x/y z", None), ("*", "é가\n\nc"), ("%2F+", ""), ("s", "a"), ("s", "a")], []])
+def test_documents_of_any_source_are_read_again(spark, tmp_path, docs):
+    spark.createDataFrame(docs, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = __spark_entry__.queries()["q1_1_read_documents"](spark, str(tmp_path)), con.sql(SQL["q1_1_read_documents"])
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("binaryFile") <= 1  # content stays in one scan
