@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.functions.html import html_table_shapes, table_grids
 from lectern.operators import ask, dense, fusion
+from lectern.operators import chunks as ck
 from lectern.operators import pages as pg
 from lectern.sources import cache, io
 
@@ -218,3 +219,13 @@ def test_documents_are_one_folder_deep_and_many_share_a_task(spark, tmp_path):
         assert io.read_documents(spark, f"file://{tmp_path}").rdd.getNumPartitions() <= max(603 // io.MERGED, io.MERGED * 4)
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_pages_that_share_a_place_are_not_multiplied_by_pairs(spark):
+    """Three pages of one place: a chunk meets each of the place's headings once, as in the SQL of q3_4, and stays single
+    where there is none."""
+    rows = [("d", p, f"text of page {k} of four, long enough to be a chunk", "cache") for p in (3, 4) for k in range(3)]
+    resolved = spark.createDataFrame(rows, "doc string, page int, text string, how string")
+    titles = spark.createDataFrame([("d", 3, "Part 3")] * 3, "doc string, page int, title string")
+    built = ck.index_of_resolved(resolved, titles).groupBy("page").count().collect()
+    assert {r["page"]: r["count"] for r in built} == {3: 9, 4: 3}
